@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def _matches(keys: list[str]) -> tuple[list[Column], Column]:
+    """Renamed keys for a side table, and the null-safe condition that joins it."""
+    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return renamed, condition
+
+
 def ranked(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str
 ) -> DataFrame:
@@ -21,24 +30,21 @@ def ranked(
     are added as an offset.
     """
     pieces = df.withColumn("_chunk", chunk)
+    renamed, same = _matches(keys)
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         pieces.groupBy(*keys, "_chunk")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            *renamed,
             F.col("_chunk").alias("_c"),
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         )
     )
     local = F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    condition = F.col("_chunk").eqNullSafe(F.col("_c"))
-    for part in same:
-        condition = condition & part
     return (
         pieces.withColumn("_local", local)
-        .join(offsets, condition)
+        .join(offsets, same & F.col("_chunk").eqNullSafe(F.col("_c")))
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("long"))
         .select(*df.columns, out)
     )
@@ -57,3 +63,95 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
+
+
+def with_next(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, out: str
+) -> DataFrame:
+    """``lead(value)`` per key, with no task holding a whole key.
+
+    Rows look ahead inside their (key, chunk); the last row of a chunk takes the
+    first value of the key's next chunk from one small row per chunk. ``value``
+    must not be null.
+    """
+    pieces = df.withColumn("_chunk", chunk)
+    renamed, same = _matches(keys)
+    ahead = W.partitionBy(*keys).orderBy("_chunk")
+    heads = (
+        pieces.groupBy(*keys, "_chunk")
+        .agg(F.min_by(value, F.struct(*order)).alias("_head"))
+        .select(*renamed, F.col("_chunk").alias("_c"), F.lead("_head").over(ahead).alias("_later"))
+    )
+    local = F.lead(value).over(W.partitionBy(*keys, "_chunk").orderBy(*order))
+    return (
+        pieces.withColumn("_near", local)
+        .join(heads, same & F.col("_chunk").eqNullSafe(F.col("_c")))
+        .withColumn(out, F.coalesce(F.col("_near"), F.col("_later")))
+        .select(*df.columns, out)
+    )
+
+
+def as_of_join(
+    probes: DataFrame,
+    versions: DataFrame,
+    key: str,
+    probe_time: str,
+    version_time: str,
+    seq: str,
+    values: list[str],
+    chunk,
+) -> DataFrame:
+    """For each probe, the values of its key's latest version at or before it.
+
+    One sort of both sides together per (key, chunk); chunks before the
+    probe's contribute one carried row each. ``chunk`` maps a time column to a
+    piece number. Probes without a version keep nulls.
+    """
+    probe_cols = probes.columns
+    v = versions.select(
+        F.col(key),
+        F.col(version_time).alias("_at"),
+        F.lit(0).alias("_probe"),
+        F.col(seq).alias("_seq"),
+        F.struct(*values).alias("_version"),
+        F.lit(None).cast(probes.select(F.struct(*probe_cols).alias("p")).schema["p"].dataType).alias("_row"),
+    )
+    p = probes.select(
+        F.col(key),
+        F.col(probe_time).alias("_at"),
+        F.lit(1).alias("_probe"),
+        F.lit(None).cast(versions.schema[seq].dataType).alias("_seq"),
+        F.lit(None).cast(v.schema["_version"].dataType).alias("_version"),
+        F.struct(*probe_cols).alias("_row"),
+    )
+    both = v.unionByName(p).withColumn("_chunk", chunk(F.col("_at")))
+    near = (
+        W.partitionBy(key, "_chunk")
+        .orderBy("_at", "_probe", "_seq")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    earlier = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        both.groupBy(key, "_chunk")
+        .agg(
+            F.max_by(
+                "_version", F.when(F.col("_probe") == 0, F.struct("_at", "_seq"))
+            ).alias("_tail")
+        )
+        .select(
+            F.col(key).alias("_k"),
+            F.col("_chunk").alias("_c"),
+            F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"),
+        )
+    )
+    found = F.coalesce(F.col("_near"), F.col("_carried"))
+    return (
+        both.withColumn("_near", F.last("_version", ignorenulls=True).over(near))
+        .filter("_probe = 1")
+        .join(carried, (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+        .withColumn("_found", found)
+        .select(
+            *[F.col(f"_row.{c}").alias(c) for c in probe_cols],
+            *[F.col(f"_found.{c}").alias(c) for c in values],
+        )
+    )
