@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bolide.functions.numeric import PI, halved, roman
 from bolide.functions.position import TRACK_FIELDS
-from bolide.operators.matching import ordered_matching
+from bolide.operators.matching import ordered_matching, without
 from bolide.operators.views import hit_details
 from bolide.plans.settle import settle
 
@@ -88,6 +86,7 @@ def cascade(
     rule: str = "reference",
     epoch_s: float = 0.0,
     budget: float | None = None,
+    since: tuple[float, DataFrame, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(hits, fragments) once every fragment has met what it meets.
 
@@ -95,31 +94,35 @@ def cascade(
     A fragment only meets slugs from its launch on, so hits before the
     earliest fragment that changed are final: they are set aside with their
     rocks and slugs, and the next pass starts there.
+
+    ``since`` = (time, hits, fragments) gives an earlier answer of which all
+    hits before that time are known to stand.
     """
     base = with_family(rocks)
-    known: DataFrame | None = None
-    final: list[DataFrame] = []
-    start: float | None = None
-    free_rocks, free_slugs = base, slugs
+    if since is None:
+        known, early, start = None, None, None
+    else:
+        start, old_hits, old_fragments = since
+        early = settle(old_hits.filter(F.col("t") < start), "hits")
+        known = settle(old_fragments.filter(F.col("fired_s") < start), "fragments")
     while True:
         everyone = base if known is None else base.unionByName(known)
+        free_rocks, free_slugs = everyone, slugs
+        if early is not None:
+            free_rocks = without(everyone, early, "rock")
+            free_slugs = without(slugs, early, "slug")
         hits = ordered_matching(free_rocks, free_slugs, budget=budget, start=start)
-        all_hits = reduce(DataFrame.unionByName, [*final, hits])
+        all_hits = hits if early is None else early.unionByName(hits)
         born = settle(fragments(all_hits, everyone, slugs, rule, epoch_s), "fragments")
         if known is None:
-            changed = born.agg(F.min("fired_s")).first()[0]
+            moved = born
         else:
-            gone, new = known.exceptAll(born), born.exceptAll(known)
-            changed = gone.unionByName(new).agg(F.min("fired_s")).first()[0]
+            moved = known.exceptAll(born).unionByName(born.exceptAll(known))
+        changed = moved.agg(F.min("fired_s")).first()[0]
         if changed is None:
             return settle(all_hits, "hits"), born
         early = settle(all_hits.filter(F.col("t") < changed), "hits")
-        final = [early]
         known, start = born, changed
-        free_rocks = base.unionByName(born).join(
-            early.select(F.col("rock").alias("id")), "id", "left_anti"
-        )
-        free_slugs = slugs.join(early.select(F.col("slug").alias("id")), "id", "left_anti")
 
 
 def family_sizes(rocks: DataFrame) -> DataFrame:

@@ -13,9 +13,8 @@ one place and time are taken rank by rank in one round instead of one per round.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +27,8 @@ from bolide.operators.pairing import (
     expand,
     no_edges,
     scope_of,
+    single_pairs,
+    unfolded,
     with_launch,
 )
 from bolide.plans.settle import settle
@@ -37,29 +38,33 @@ from bolide.plans.skew import id_chunk, ranked
 TAIL_PAIRS = 500_000
 _PLACE = ["t", "m_theta", "m_phi", "m_r"]
 
-Step = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+Step = Callable[[DataFrame, DataFrame, DataFrame, float | None], DataFrame]
 
 
-def _first_come(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rocks, slugs = set(), set()
-    for batch in batches:
-        keep = []
-        for rock, slug in zip(batch["rock"], batch["slug"]):
-            free = rock not in rocks and slug not in slugs
-            if free:
-                rocks.add(rock)
-                slugs.add(slug)
-            keep.append(free)
-        yield batch[keep]
+def _first_come():
+    """Function over sorted batches; nested, so it travels without this package."""
 
+    def take(batches):
+        rocks, slugs = set(), set()
+        for batch in batches:
+            keep = []
+            for rock, slug in zip(batch["rock"], batch["slug"]):
+                free = rock not in rocks and slug not in slugs
+                if free:
+                    rocks.add(rock)
+                    slugs.add(slug)
+                keep.append(free)
+            yield batch[keep]
 
-def match_in_order(pairs: DataFrame) -> DataFrame:
+    return take
+
+
+def match_in_order(pairs: DataFrame, order: tuple[str, ...] = ("t", "rock", "slug")) -> DataFrame:
     """Sequential matching of a counted, small set of pairs in one sorted task."""
     return (
-        pairs.select("rock", "slug", "t")
-        .repartition(1)
-        .sortWithinPartitions("t", "rock", "slug")
-        .mapInPandas(_first_come, "rock long, slug long, t double")
+        pairs.repartition(1)
+        .sortWithinPartitions(*order)
+        .mapInPandas(_first_come(), pairs.schema)
     )
 
 
@@ -120,7 +125,8 @@ def _round(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
     return by_rank.unionByName(singles)
 
 
-def _without(objects: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+def without(objects: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+    """Objects that are not among the ``name`` side of the hits."""
     return objects.join(hits.select(F.col(name).alias("id")), "id", "left_anti")
 
 
@@ -137,9 +143,19 @@ def _recount(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
 
 
 def match_edges(
-    edges: DataFrame, rocks: DataFrame, slugs: DataFrame, tail: int = TAIL_PAIRS
+    edges: DataFrame,
+    rocks: DataFrame,
+    slugs: DataFrame,
+    tail: int = TAIL_PAIRS,
+    singles: float | None = None,
 ) -> DataFrame:
-    """Hits among settled class edges of one slice, as a settled table."""
+    """Hits among class edges of one slice, as a settled table.
+
+    ``singles``: the classes have one member each, and this many pairs at most.
+    """
+    if singles is not None and singles <= tail:
+        return settle(match_in_order(single_pairs(edges)), "hits")
+    edges = settle(edges, "edges")
     parts: list[DataFrame] = []
     trimmed = False
     while True:
@@ -149,7 +165,8 @@ def match_edges(
         if not row[0]:
             break
         if row[1] <= tail:
-            parts.append(match_in_order(expand(edges, rocks, slugs)))
+            few = single_pairs(edges) if singles is not None else expand(edges, rocks, slugs)
+            parts.append(match_in_order(few))
             break
         if not trimmed:
             # Only members of classes with an edge take part from here on.
@@ -160,8 +177,8 @@ def match_edges(
             trimmed = True
         hits = settle(_round(edges, rocks, slugs), "hits")
         parts.append(hits)
-        rocks = settle(_without(rocks, hits, "rock"), "rocks")
-        slugs = settle(_without(slugs, hits, "slug"), "slugs")
+        rocks = settle(without(rocks, hits, "rock"), "rocks")
+        slugs = settle(without(slugs, hits, "slug"), "slugs")
         edges = settle(_recount(edges, rocks, slugs), "edges")
     if not parts:
         return no_edges(edges)
@@ -180,11 +197,14 @@ def _sweep(
     start: float | None = None,
 ) -> list[DataFrame]:
     """Apply ``step`` to the edges of each slice, dropping ``used`` sides in between."""
-    rocks, slugs = with_launch(rocks, TRACK_FIELDS), with_launch(slugs, SHOT_FIELDS)
     scope = scope_of(rocks, slugs)
     if scope is None:
         return []
     limit = default_budget(scope) if budget is None else budget
+    fold = not unfolded(scope, limit)
+    singles = None if fold else float(scope.rocks) * scope.slugs
+    rocks = with_launch(rocks, TRACK_FIELDS, fold)
+    slugs = with_launch(slugs, SHOT_FIELDS, fold)
     begin = scope.begin if start is None else max(scope.begin, start)
     todo, results = [Slice(begin, None)], []
     while todo:
@@ -193,12 +213,12 @@ def _sweep(
         if edges is None:
             todo.extend(reversed(cut(sl, scope)))
             continue
-        found = step(settle(edges, "edges"), rocks, slugs)
+        found = step(edges, rocks, slugs, singles)
         results.append(found)
         if todo and "rock" in used:
-            rocks = settle(_without(rocks, found, "rock"), "rocks")
+            rocks = settle(without(rocks, found, "rock"), "rocks")
         if todo and "slug" in used:
-            slugs = settle(_without(slugs, found, "slug"), "slugs")
+            slugs = settle(without(slugs, found, "slug"), "slugs")
     return results
 
 
@@ -226,7 +246,7 @@ def ordered_matching(
     parts = _sweep(
         rocks,
         slugs,
-        lambda e, r, s: match_edges(e, r, s, tail),
+        lambda e, r, s, singles: match_edges(e, r, s, tail, singles),
         ("rock", "slug"),
         budget,
         start,
@@ -234,7 +254,9 @@ def ordered_matching(
     return _all(parts, rocks)
 
 
-def _earliest_per_rock(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
+def _earliest_per_rock(
+    edges: DataFrame, rocks: DataFrame, slugs: DataFrame, singles: float | None
+) -> DataFrame:
     """The earliest slug of each rock; every copy of a rock has the same one."""
     best = edges.groupBy("r_launch").agg(F.min(F.struct("t", "s_lo")).alias("_b"))
     found = rocks.join(best, rocks.launch == best.r_launch).select(
@@ -266,7 +288,7 @@ def match_pairs(pairs: DataFrame, order: list[str], tail: int = TAIL_PAIRS) -> D
     parts: list[DataFrame] = []
     while (n := left.count()) > 0:
         if n <= tail:
-            parts.append(_in_order(left, order))
+            parts.append(match_in_order(left, tuple(order)))
             break
         by_rock = left.groupBy("rock").agg(F.min(key).alias("_r"))
         by_slug = left.groupBy("slug").agg(F.min(key).alias("_s"))
@@ -289,14 +311,6 @@ def match_pairs(pairs: DataFrame, order: list[str], tail: int = TAIL_PAIRS) -> D
     return out
 
 
-def _in_order(pairs: DataFrame, order: list[str]) -> DataFrame:
-    return (
-        pairs.repartition(1)
-        .sortWithinPartitions(*order)
-        .mapInPandas(_first_come, pairs.schema)
-    )
-
-
 def match_by_fold(pairs: DataFrame) -> DataFrame:
     """Literal running aggregate over (t, rock, slug), for one small set of pairs."""
     entry = F.struct("t", "rock", "slug")

@@ -85,8 +85,10 @@ def launch_key(fields: tuple[str, ...]) -> Column:
     return F.md5(F.concat_ws("|", *[(F.col(f) + F.lit(0.0)).cast("string") for f in fields]))
 
 
-def with_launch(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    return df.select("id", launch_key(fields).alias("launch"), *fields)
+def with_launch(df: DataFrame, fields: tuple[str, ...], fold: bool = True) -> DataFrame:
+    """Objects with the key of their launch class; unfolded, each is its own class."""
+    key = launch_key(fields) if fold else F.col("id").cast("string")
+    return df.select("id", key.alias("launch"), *fields)
 
 
 def launch_classes(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -395,12 +397,12 @@ def edges_within(
     the radius grid only where they leave too many candidates. A slice that
     cannot be cut further is joined whatever its size.
     """
+    if unfolded(scope, budget):
+        one = {"n": F.lit(1).cast("long"), "lo": F.col("id")}
+        k = keyed(rocks.withColumns(one), slugs.withColumns(one), sl, scope, grid=False)
+        return class_edges(k, Bound(0.0, 0.0), sl, scope)
     r_classes = launch_classes(rocks, TRACK_FIELDS)
     s_classes = launch_classes(slugs, SHOT_FIELDS)
-    if float(scope.rocks) * scope.slugs <= min(budget, float(_CELL_PAIRS) * 4):
-        # Even all pairs are within the budget: no need to count.
-        k = keyed(r_classes, s_classes, sl, scope, grid=False)
-        return class_edges(k, Bound(0.0, 0.0), sl, scope)
     for grid in (False, True):
         k = keyed(r_classes, s_classes, sl, scope, grid)
         bound = pair_bound(k)
@@ -409,6 +411,11 @@ def edges_within(
     return None
 
 
+def unfolded(scope: Scope, budget: float) -> bool:
+    """Even all pairs are within the budget: no need to fold copies or to count."""
+    return float(scope.rocks) * scope.slugs <= min(budget, 4.0 * _CELL_PAIRS)
+
+
 def default_budget(scope: Scope) -> float:
     """Candidate pairs one slice may test: linear in the number of objects."""
     return max(20e6, 16.0 * (scope.rocks + scope.slugs))
@@ -425,11 +432,13 @@ def candidate_edges(
     rocks: DataFrame, slugs: DataFrame, budget: float | None = None
 ) -> DataFrame:
     """Every (rock, slug, t) with no miss reason."""
-    rocks, slugs = with_launch(rocks, TRACK_FIELDS), with_launch(slugs, SHOT_FIELDS)
     scope = scope_of(rocks, slugs)
     if scope is None:
         return no_edges(rocks)
     limit = default_budget(scope) if budget is None else budget
+    fold = not unfolded(scope, limit)
+    rocks = with_launch(rocks, TRACK_FIELDS, fold)
+    slugs = with_launch(slugs, SHOT_FIELDS, fold)
     todo, found = [Slice(scope.begin, None)], None
     while todo:
         sl = todo.pop()
@@ -438,7 +447,12 @@ def candidate_edges(
             todo.extend(reversed(cut(sl, scope)))
             continue
         found = edges if found is None else found.unionByName(edges)
-    return expand(found, rocks, slugs)
+    return expand(found, rocks, slugs) if fold else single_pairs(found)
+
+
+def single_pairs(edges: DataFrame) -> DataFrame:
+    """Object pairs of edges between classes of one."""
+    return edges.select(F.col("r_lo").alias("rock"), F.col("s_lo").alias("slug"), "t")
 
 
 def no_edges(df: DataFrame) -> DataFrame:
