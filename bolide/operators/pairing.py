@@ -250,9 +250,13 @@ def _interval(df: DataFrame, radius, v: Column, sl: Slice, scope: Scope) -> Data
     return df.withColumn("_rung", F.ceil(F.log2(F.col("_hi") - F.col("_lo"))).cast("int"))
 
 
-def _rungs(df: DataFrame) -> list[int]:
-    """Distinct rungs: exponents of doubles, so few by construction."""
-    return [row[0] for row in df.select("_rung").distinct().collect()]
+def _rungs(rocks: DataFrame, slugs: DataFrame) -> tuple[list[int], list[int]]:
+    """Distinct rungs of both sides: exponents of doubles, so few by construction."""
+    sides = rocks.select("_rung", F.lit(True).alias("rock")).unionByName(
+        slugs.select("_rung", F.lit(False).alias("rock"))
+    )
+    found = sides.distinct().collect()
+    return [x._rung for x in found if x.rock], [x._rung for x in found if not x.rock]
 
 
 def _cells(df: DataFrame, own_side: int, others: list[int], base: int) -> DataFrame:
@@ -302,7 +306,7 @@ def keyed(rocks: DataFrame, slugs: DataFrame, sl: Slice, scope: Scope, grid: boo
         rock, slug = track(), shot()
         r = _interval(r, lambda t: rock.r_0 + rock.v * (t - rock.fired_s), rock.v, sl, scope)
         s = _interval(s, lambda t: slug.v * (t - slug.fired_s), slug.v, sl, scope)
-        r_rungs, s_rungs = _rungs(r), _rungs(s)
+        r_rungs, s_rungs = _rungs(r, s)
         if r_rungs and s_rungs:
             base = max(r_rungs + s_rungs) - _RUNGS
             r, s = _cells(r, 0, s_rungs, base), _cells(s, 1, r_rungs, base)
