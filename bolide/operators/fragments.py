@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bolide.functions.numeric import PI, halved, roman
-from bolide.functions.position import TRACK_FIELDS
+from bolide.functions.numeric import PI, halved, roman, round_away
+from bolide.functions.position import SHOT_FIELDS, TRACK_FIELDS, shot, shot_pos
 from bolide.operators.matching import ordered_matching, without
 from bolide.operators.views import hit_details
 from bolide.plans.settle import settle
@@ -50,8 +50,13 @@ def fragments(
         raise ValueError(f"unknown fragment rule {rule!r}")
     family = with_family(rocks)
     heavy = family.filter(F.col("mass") > 1)
-    at = hit_details(hits, heavy, slugs).select("rock", "t", "pos_r")
-    j = heavy.join(at, heavy.id == at.rock)
+    s = slugs.select(F.col("id").alias("slug"), *[F.col(c).alias(f"s_{c}") for c in SHOT_FIELDS])
+    at = hits.join(s, "slug").select(
+        F.col("rock").alias("id"),
+        "t",
+        round_away(shot_pos(shot("s_"), F.col("t")).r, 2).alias("pos_r"),
+    )
+    j = heavy.join(at, "id")
     t = F.col("t")
     if rule == "reference":
         clock = F.lit(float(epoch_s)) + t

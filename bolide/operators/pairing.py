@@ -321,6 +321,38 @@ def keyed(rocks: DataFrame, slugs: DataFrame, sl: Slice, scope: Scope, grid: boo
     )
 
 
+def keyed_by_course(rocks: DataFrame, slugs: DataFrame, scope: Scope) -> Keyed:
+    """Keys for all time at once: the bins of a still angle, none for a turning one."""
+
+    def course(slope: str, bin_: Column) -> Column:
+        return F.when(F.col(slope) == 0, bin_.cast("int")).otherwise(F.lit(_ANY))
+
+    rock, slug = track(), shot()
+    r = rocks.select(
+        course("m_theta", theta_bin(rock.b_theta)).alias("k_theta"),
+        course("m_phi", phi_bin(rock.b_phi)).alias("k_phi"),
+        F.col("id").cast("string").alias("launch"),
+        F.lit(1).cast("long").alias("n"),
+        F.col("id").alias("lo"),
+        *TRACK_FIELDS,
+    )
+    theta, phi = theta_bin(slug.theta).cast("int"), phi_bin(slug.phi).cast("int")
+    keys = [
+        F.struct(t.alias("theta"), p.alias("phi"))
+        for t in ([theta, F.lit(_ANY)] if scope.turns_theta else [theta])
+        for p in ([phi, F.lit(_ANY)] if scope.turns_phi else [phi])
+    ]
+    s = slugs.select("id", F.explode(F.array(*keys)).alias("k"), *SHOT_FIELDS).select(
+        F.col("k.theta").alias("k_theta"),
+        F.col("k.phi").alias("k_phi"),
+        F.col("id").cast("string").alias("launch"),
+        F.lit(1).cast("long").alias("n"),
+        F.col("id").alias("lo"),
+        *SHOT_FIELDS,
+    )
+    return Keyed(r, s, ["k_theta", "k_phi"], False)
+
+
 def _cell_pairs(k: Keyed) -> DataFrame:
     """Candidate pairs per cell from counts alone (partial aggregates, no pairs)."""
     r = k.rocks.groupBy(*k.keys).agg(F.count(F.lit(1)).alias("c_r"))
@@ -402,9 +434,7 @@ def edges_within(
     cannot be cut further is joined whatever its size.
     """
     if unfolded(scope, budget):
-        one = {"n": F.lit(1).cast("long"), "lo": F.col("id")}
-        k = keyed(rocks.withColumns(one), slugs.withColumns(one), sl, scope, grid=False)
-        return class_edges(k, Bound(0.0, 0.0), sl, scope)
+        return class_edges(keyed_by_course(rocks, slugs, scope), Bound(0.0, 0.0), sl, scope)
     r_classes = launch_classes(rocks, TRACK_FIELDS)
     s_classes = launch_classes(slugs, SHOT_FIELDS)
     for grid in (False, True):

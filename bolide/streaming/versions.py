@@ -18,10 +18,8 @@ class VersionKeeper:
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, at: str, seq: str):
         self.key, self.at, self.seq = key, at, seq
-        columns = spark.createDataFrame([], schema)
-        kept = columns.drop(at).withColumns(
-            {"valid_from": F.col(at), "valid_to": F.col(at)} if at in columns.columns else {}
-        )
+        empty = spark.createDataFrame([], schema)
+        kept = empty.withColumns({"valid_from": F.col(at), "valid_to": F.col(at)}).drop(at)
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
         self.tables = VersionedTables(spark, path, {"open": ddl, "closed": ddl})
 
