@@ -41,12 +41,12 @@ def validated(
 
     ``offset_s`` is the launch time minus the request time in seconds, null
     for an immediate launch. Unnamed requests are numbered in order of arrival,
-    in tens; the numbering is chunked by day.
+    in tens; the numbering is chunked by minute.
     """
     unnamed = F.col("name").isNull()
     base = requests.withColumn("_unnamed", unnamed.cast("int"))
     numbered = ranked(
-        base.filter(unnamed), ["_unnamed"], ["ts", "event_id"], F.to_date("ts"), "_shot"
+        base.filter(unnamed), ["_unnamed"], ["ts", "event_id"], F.date_trunc("minute", "ts"), "_shot"
     )
     rest = base.filter(~unnamed).withColumn("_shot", F.lit(None).cast("long"))
     named = numbered.unionByName(rest)

@@ -238,10 +238,12 @@ def miss_reason_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collisions_named(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts of the hypothetical slug with the names of both objects."""
-    every = slugs(spark, d).select("id", "name").unionByName(_new_slug(spark).select("id", "name"))
-    pairs = collisions_of_slug(spark, d)
-    return views.named(pairs, rocks(spark, d), every).select(
+    """Verdicts of the hypothetical slug and rock with the names of both objects."""
+    name = ["id", "name"]
+    every_rock = rocks(spark, d).select(*name).unionByName(_new_rock(spark).select(*name))
+    every_slug = slugs(spark, d).select(*name).unionByName(_new_slug(spark).select(*name))
+    pairs = collisions_of_slug(spark, d).unionByName(collisions_of_rock(spark, d))
+    return views.named(pairs, every_rock, every_slug).select(
         "rock_name", "slug_name", "miss", "t"
     )
 

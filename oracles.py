@@ -457,10 +457,11 @@ select id, trim(array_to_string(list_transform(fore, lambda x: substr(x, 1, 1)),
 union all select 'rock' as "of", coalesce(miss, 'hit') as reason, count(*) as n from of_rock group by 2""",
         ),
         "collisions_named": sql(
-            *of_slug,
-            then="""select r.name as rock_name, s.name as slug_name, c.miss, c.t from of_slug c
-join rocks r on c.rock = r.id join (select id, name from slugs union all select id, name from new_slug) s
- on c.slug = s.id""",
+            *of_slug, *of_rock,
+            then="""select r.name as rock_name, s.name as slug_name, c.miss, c.t
+from (select * from of_slug union all select * from of_rock) c
+join (select id, name from rocks union all select id, name from new_rock) r on c.rock = r.id
+join (select id, name from slugs union all select id, name from new_slug) s on c.slug = s.id""",
         ),
         "candidate_hits": sql(*CANDS, then=f"select {hit} from candidates"),
         "ordered_matching": sql(*HITS, then=f"select {hit} from hits"),

@@ -70,6 +70,21 @@ if os.environ.get("EVERY_STEP"):
 
 @pytest.fixture(scope="module")
 def kept(spark, tmp_path_factory):
+    # A dozen rows per table: one partition and interpreted plans are quickest.
+    tiny = {
+        "spark.sql.shuffle.partitions": "1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.codegen.wholeStage": "false",
+    }
+    before = {k: spark.conf.get(k) for k in tiny}
+    for k, v in tiny.items():
+        spark.conf.set(k, v)
+    yield _run_steps(spark, tmp_path_factory)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _run_steps(spark, tmp_path_factory):
     keeper = HitKeeper(spark, str(tmp_path_factory.mktemp("keeper")), epoch_s=MIDNIGHT)
     states = {}
     for batch, group in enumerate(GROUPS):
