@@ -125,6 +125,111 @@ def _round(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
     return by_rank.unionByName(singles)
 
 
+def _classes_in_order():
+    """Function over class edges sorted by t; nested, as above.
+
+    Takes as many members as both classes still have, lowest ids first. Where
+    classes tie at one time their ids interleave, which counts cannot tell; those
+    classes, and what depends on them, are left for a later round.
+    """
+
+    def take(batches):
+        import pandas as pd
+
+        left, used, unsure = {}, {}, set()
+
+        def resolve(group):
+            live = []
+            for r, s, t, n_r, n_s in group:
+                a, b = ("r", r), ("s", s)
+                left.setdefault(a, n_r)
+                left.setdefault(b, n_s)
+                if left[a] and left[b]:
+                    live.append((a, b, t))
+            seen = {}
+            for a, b, _ in live:
+                seen[a] = seen.get(a, 0) + 1
+                seen[b] = seen.get(b, 0) + 1
+            doubtful = [
+                e for e in live if seen[e[0]] > 1 or seen[e[1]] > 1 or {e[0], e[1]} & unsure
+            ]
+            for a, b, _ in doubtful:
+                unsure.update((a, b))
+            made = []
+            for a, b, t in live:
+                if a in unsure or b in unsure:
+                    continue
+                n = min(left[a], left[b])
+                made.append((a[1], b[1], t, used.get(a, 0), used.get(b, 0), n))
+                for x in (a, b):
+                    left[x] -= n
+                    used[x] = used.get(x, 0) + n
+            return made
+
+        group, out = [], []
+        names = ["r_launch", "s_launch", "t", "r_from", "s_from", "taken"]
+        for batch in batches:
+            rows = batch[["r_launch", "s_launch", "t", "r_n", "s_n"]]
+            for row in rows.itertuples(index=False, name=None):
+                if group and group[0][2] != row[2]:
+                    out.extend(resolve(group))
+                    group = []
+                group.append(row)
+            yield pd.DataFrame(out, columns=names)
+            out = []
+        yield pd.DataFrame(resolve(group), columns=names)
+
+    return take
+
+
+def _class_hits(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
+    """Hits of a counted, small set of class edges, members paired rank by rank.
+
+    Only the class edges go through one task. The members, however many, are
+    ranked in pieces and joined on (class, rank), a key that no two share.
+    """
+    taken = settle(
+        edges.select("r_launch", "s_launch", "t", "r_n", "s_n")
+        .repartition(1)
+        .sortWithinPartitions("t", "r_launch", "s_launch")
+        .mapInPandas(
+            _classes_in_order(),
+            "r_launch string, s_launch string, t double, r_from long, s_from long, taken long",
+        ),
+        "taken",
+    )
+    block = 1 << 16
+    last = F.floor((F.col("taken") - 1) / block)
+    units = (
+        taken.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .repartition("r_launch", "s_launch", "_b")
+        .withColumn("_from", F.col("_b") * block)
+        .withColumn("_to", F.least(F.col("taken"), (F.col("_b") + 1) * block) - 1)
+        .withColumn("_i", F.explode(F.sequence("_from", "_to")))
+        .select(
+            "r_launch",
+            "s_launch",
+            "t",
+            (F.col("r_from") + F.col("_i") + 1).alias("r_rank"),
+            (F.col("s_from") + F.col("_i") + 1).alias("s_rank"),
+        )
+    )
+
+    def members(objects: DataFrame, p: str, name: str) -> DataFrame:
+        numbered = ranked(objects.select("id", "launch"), ["launch"], ["id"], id_chunk("id"), "_k")
+        return numbered.select(
+            F.col("launch").alias(f"{p}_launch"),
+            F.col("_k").alias(f"{p}_rank"),
+            F.col("id").alias(name),
+        )
+
+    return (
+        units.join(members(rocks, "r", "rock"), ["r_launch", "r_rank"])
+        .join(members(slugs, "s", "slug"), ["s_launch", "s_rank"])
+        .select("rock", "slug", "t")
+    )
+
+
 def without(objects: DataFrame, hits: DataFrame, name: str) -> DataFrame:
     """Objects that are not among the ``name`` side of the hits."""
     return objects.join(hits.select(F.col(name).alias("id")), "id", "left_anti")
@@ -148,6 +253,7 @@ def match_edges(
     slugs: DataFrame,
     tail: int = TAIL_PAIRS,
     singles: float | None = None,
+    class_tail: int = TAIL_PAIRS,
 ) -> DataFrame:
     """Hits among class edges of one slice, as a settled table.
 
@@ -157,7 +263,7 @@ def match_edges(
         return settle(match_in_order(single_pairs(edges)), "hits")
     edges = settle(edges, "edges")
     parts: list[DataFrame] = []
-    trimmed = False
+    trimmed, by_class = False, singles is None
     while True:
         row = edges.agg(
             F.count(F.lit(1)), F.sum(F.col("r_n").cast("double") * F.col("s_n"))
@@ -175,7 +281,11 @@ def match_edges(
             rocks = settle(rocks.join(r_in, "launch", "left_semi").select("id", "launch"), "rocks")
             slugs = settle(slugs.join(s_in, "launch", "left_semi").select("id", "launch"), "slugs")
             trimmed = True
-        hits = settle(_round(edges, rocks, slugs), "hits")
+        # Passes over few class edges alternate with rounds, which settle the ties.
+        pass_now = by_class and row[0] <= class_tail
+        by_class = singles is None and not pass_now
+        step = _class_hits if pass_now else _round
+        hits = settle(step(edges, rocks, slugs), "hits")
         parts.append(hits)
         rocks = settle(without(rocks, hits, "rock"), "rocks")
         slugs = settle(without(slugs, hits, "slug"), "slugs")
@@ -237,6 +347,7 @@ def ordered_matching(
     budget: float | None = None,
     tail: int = TAIL_PAIRS,
     start: float | None = None,
+    class_tail: int = TAIL_PAIRS,
 ) -> DataFrame:
     """Hits (rock, slug, t): at most one per rock and per slug.
 
@@ -246,7 +357,7 @@ def ordered_matching(
     parts = _sweep(
         rocks,
         slugs,
-        lambda e, r, s, singles: match_edges(e, r, s, tail, singles),
+        lambda e, r, s, singles: match_edges(e, r, s, tail, singles, class_tail),
         ("rock", "slug"),
         budget,
         start,

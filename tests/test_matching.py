@@ -43,7 +43,8 @@ def test_slices_and_grid(spark, monkeypatch):
     assert cuts
 
 
-def test_rounds_with_copies(spark, monkeypatch):
+@pytest.mark.parametrize("class_tail", [0, 1000])
+def test_rounds_with_copies(spark, monkeypatch, class_tail):
     """A third of both sides are copies of one launch; no round may take them singly."""
     rocks, slugs = brute.scene(3, 6, 8, copies=4)
     one_r = (5.0, 0.0, 0.1, 0.0, 0.1, 100.0, 0.0)
@@ -62,7 +63,7 @@ def test_rounds_with_copies(spark, monkeypatch):
         return plain(*args)
 
     monkeypatch.setattr(matching, "_round", counted)
-    got = rows(matching.ordered_matching(r, s, budget=1000.0, tail=0))
+    got = rows(matching.ordered_matching(r, s, budget=1000.0, tail=0, class_tail=class_tail))
     assert got == brute.in_order(pairs)
     assert len(rounds) < 15
 
