@@ -5,10 +5,10 @@
 2. Counts of all ids give code lengths of at most ``MAX_BITS`` (package-merge); the
    canonical codes follow from the lengths alone. Counts and tables have one entry
    per id of the vocabulary: that bounds what the driver holds.
-3. Runs of whole documents become blocks: the code bits, a checkpoint (bit
-   offset) for every ``STRIDE``-th token, and the documents' ids, starts and
-   lengths. Any block decodes alone with one table of 2^MAX_BITS entries; all
-   its checkpoints are decoded side by side.
+3. Runs of whole documents are blocks: the code bits, a checkpoint (bit offset) for
+   every ``STRIDE``-th token, the documents' ids and lengths, and where the block starts
+   among all ids. Any block decodes alone with one table of 2^MAX_BITS entries; all its
+   checkpoints are decoded side by side.
 
 The files are Parquet written by Spark: ``codes`` (id, length) and ``blocks``.
 
@@ -20,7 +20,6 @@ longer than a block makes a block of its own. An empty table gives empty files.
 from __future__ import annotations
 
 import heapq
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,103 +27,187 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bolide.llm.shared import pieces, span_hashes, text_bytes
 from bolide.plans.settle import checkpoint_root, settle
 
 MAX_BITS = 16
 STRIDE = 256
-BLOCK_TOKENS = 1 << 19
-# Spellings a worker remembers between texts.
-REMEMBERED = 400_000
+# Text of a block's documents, in bytes.
+BLOCK_BYTES = 4 << 20
+# Spellings a task remembers.
+REMEMBERED = 4_000_000
 
+RAW = "part int, before long, doc_ids array<bigint>, lengths array<int>, ids binary"
 BLOCKS = (
-    "part int, first_start long, bits binary, checkpoints binary, doc_ids array<bigint>, "
-    "starts array<bigint>, lengths array<int>"
+    "part int, first_start long, bits binary, checkpoints binary, doc_ids array<bigint>, lengths array<int>"
 )
 
-# White space next to a space: there a cut before a space would change the split into words.
-_UNSAFE = re.compile(r"\s | \s|^ | $")
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _apart(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that must be encoded whole: with white space next to a space, or such beyond ASCII."""
+    if not len(raw):
+        return np.zeros(len(offsets) - 1, bool)
+    space = raw == 32
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    bad = np.zeros(len(raw), bool)
+    bad |= space & (edge[:-1] | edge[1:])
+    bad[1:] |= space[1:] & _BLANK[raw[:-1]]
+    bad[:-1] |= space[:-1] & _BLANK[raw[1:]]
+    # First two bytes of any white space beyond ASCII.
+    for lead, following in ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A,)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,))):
+        at = np.flatnonzero(raw[:-1] == lead)
+        bad[at[np.isin(raw[at + 1], following)]] = True
+    counts = np.concatenate([[0], np.cumsum(bad)])
+    return counts[offsets[1:]] > counts[offsets[:-1]]
 
 
 class Encoder:
     """The tokenizer over whole texts, remembering what it gave for a word.
 
-    A byte-level BPE splits a text before each single space between visible
-    characters, so the ids of a text are those of its space-led words in a row. Texts with
-    other white space around a space are encoded whole.
+    A byte-level BPE splits a text before each single space between visible characters, so
+    the ids of a text are those of its space-led words in a row. Only words not met before
+    go to the tokenizer; they are known by a 64-bit hash. Texts with other white space
+    around a space are encoded whole.
     """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.known: dict[str, list[int]] = {}
+        self.line_end = self._encode(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        words = [None if _UNSAFE.search(t) else _words(t) for t in texts]
-        new = {w for ws in words if ws for w in ws if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {w for ws in words if ws for w in ws}
-        fresh = list(new)
-        for i in range(0, len(fresh), 10_000):
-            self.known.update(zip(fresh[i : i + 10_000], self._encode(fresh[i : i + 10_000])))
-        out = []
-        for t, ws in zip(texts, words):
-            if ws is None:
-                out.append(np.array(self._encode([t])[0], np.uint32))
-            else:
-                got = [self.known[w] for w in ws]
-                out.append(np.fromiter((i for g in got for i in g), np.uint32, sum(map(len, got))))
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of single words. Many share a call, with line ends between them."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        plain = [i for i, w in enumerate(words) if "\n" not in w]
+        joined = [plain[a : a + 500] for a in range(0, len(plain), 500)]
+        if len(self.line_end) != 1:
+            joined = [[i] for i in plain]
+        for run, ids in zip(joined, self._encode(["\n".join(words[i] for i in run) for run in joined])):
+            ids = np.array(ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.line_end[0]) if len(run) > 1 else np.zeros(0, np.int64)
+            for i, a, b in zip(run, [0, *(cuts + 1)], [*cuts, len(ids)]):
+                out[i] = ids[a:b]
+        rest = [i for i, w in enumerate(words) if "\n" in w]
+        for i, ids in zip(rest, self._encode([words[i] for i in rest])):
+            out[i] = np.array(ids, np.uint32)
         return out
 
-
-def _words(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *[f" {w}" for w in rest]] if text else []
+    def _learn(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        distinct, at = np.unique(hashes, return_index=True)
+        fresh = ~np.isin(distinct, self.known, assume_unique=True)
+        if len(self.known) + fresh.sum() > REMEMBERED:
+            self._forget()
+            fresh[:] = True
+        distinct, at = distinct[fresh], at[fresh]
+        if not len(distinct):
+            return
+        data = raw.tobytes()
+        got = self._of_words([data[a:b].decode() for a, b in zip(start[at], end[at])])
+        count = np.array([len(g) for g in got], np.int64)
+        first = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, *got])
+        order = np.argsort(np.concatenate([self.known, distinct]), kind="stable")
+        self.known = np.concatenate([self.known, distinct])[order]
+        self.first = np.concatenate([self.first, first])[order]
+        self.count = np.concatenate([self.count, count])[order]
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        raw, offsets = text_bytes(column)
+        n = len(offsets) - 1
+        whole = _apart(raw, offsets)
+        begins = raw == 32
+        filled = offsets[:-1][np.diff(offsets) > 0]
+        begins[filled] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(raw))
+        doc = np.searchsorted(offsets, start, "right") - 1
+        plain = ~whole[doc]
+        start, end, doc = start[plain], end[plain], doc[plain]
+        hashes = span_hashes(raw, start, end, [None])[0]
+        self._learn(hashes, raw, start, end)
+        at = np.searchsorted(self.known, hashes)
+        count = self.count[at]
+        place = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        numbers, lengths = self.pool[place], np.bincount(doc, count, n).astype(np.int64)
+        if not whole.any():
+            return numbers, lengths
+        parts = np.split(numbers, np.cumsum(lengths)[:-1])
+        odd = np.flatnonzero(whole)
+        data = raw.tobytes()
+        texts = [data[offsets[d] : offsets[d + 1]].decode() for d in odd]
+        for d, ids in zip(odd, self._encode(texts)):
+            parts[d] = np.array(ids, np.uint32)
+            lengths[d] = len(ids)
+        return np.concatenate(parts), lengths
+
+
+def _ended(numbers: np.ndarray, lengths: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ids with the end id after them."""
+    if end_id is None:
+        return numbers, lengths
+    return np.insert(numbers, np.cumsum(lengths), end_id), lengths + 1
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
-    """Write the ids of every text in doc_id order: doc_id, part, _row, ids (binary), n_tokens."""
+    """Write the ids of all texts in doc_id order, a row for a run of documents.
+
+    ``before`` counts the ids of the same range partition before the row's.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder, before = Encoder(tokenizer), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                texts = [t or "" for t in piece["text"].to_pylist()]
-                ids = [np.concatenate([i, tail]) for i in encoder.ids(texts)]
+            for piece in pieces(batch, "text", BLOCK_BYTES):
+                numbers, lengths = _ended(*encoder.ids(piece["text"]), end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece["doc_id"].cast(pa.int64()),
-                        piece["part"],
-                        piece["_row"],
-                        pa.array([i.tobytes() for i in ids], pa.binary()),
-                        pa.array([len(i) for i in ids], pa.int32()),
+                        piece["part"].slice(0, 1),
+                        pa.array([before], pa.int64()),
+                        pa.array([piece["doc_id"].cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
+                        pa.array([lengths], pa.list_(pa.int32())),
+                        pa.array([_squeezed(numbers)], pa.binary()),
                     ],
-                    ["doc_id", "part", "_row", "ids", "n_tokens"],
+                    ["part", "before", "doc_ids", "lengths", "ids"],
                 )
+                before += len(numbers)
 
     ordered = (
         docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
         .repartitionByRange(parts, "doc_id", "_row")
         .sortWithinPartitions("doc_id", "_row")
-        .withColumn("part", F.spark_partition_id())
-    )
-    return settle(
-        ordered.mapInArrow(
-            encode, "doc_id long, part int, _row long, ids binary, n_tokens int"
-        ),
-        "ids",
+        .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
+    return settle(ordered.mapInArrow(encode, RAW), "ids")
+
+
+def _squeezed(ids: np.ndarray) -> bytes:
+    """Until the code is known: 16-bit numbers where they fit, packed."""
+    narrow = not len(ids) or int(ids.max()) < 1 << 16
+    return (b"2" if narrow else b"4") + zstandard.compress(ids.astype("<u2" if narrow else "<u4").tobytes(), 3)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4")
 
 
 def id_counts(ids: DataFrame) -> dict[int, int]:
@@ -134,7 +217,7 @@ def id_counts(ids: DataFrame) -> dict[int, int]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch["ids"]:
-                part = np.bincount(np.frombuffer(blob.as_py(), np.uint32))
+                part = np.bincount(_unsqueezed(blob.as_py()))
                 if len(part) > len(total):
                     total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
                 total[: len(part)] += part
@@ -249,51 +332,29 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None) ->
     )
     book = spark.sparkContext.broadcast(lengths)  # one entry per id of the vocabulary
     # Tokens before each range partition: one number per partition.
-    totals = {r[0]: r[1] for r in ids.groupBy("part").agg(F.sum("n_tokens")).collect()}
+    sizes = F.aggregate("lengths", F.lit(0).cast("long"), lambda n, x: n + x)
+    totals = {r[0]: r[1] for r in ids.groupBy("part").agg(F.sum(sizes)).collect()}
     parts = sorted(totals)
     before = dict(zip(parts, accumulate([0, *(totals[p] for p in parts)])))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codebook = Codebook(book.value)
-        part, start, held, size = None, 0, [], 0
-
-        def block() -> pa.RecordBatch:
-            numbers = np.concatenate([h[2] for h in held])
-            data, checkpoints = codebook.encode(numbers)
-            columns = [[part], [held[0][1]], [data], [checkpoints]]
-            columns += [[[h[0] for h in held]], [[h[1] for h in held]], [[len(h[2]) for h in held]]]
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-            kinds += [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                ["part", "first_start", "bits", "checkpoints", "doc_ids", "starts", "lengths"],
+        for batch in batches:
+            coded = [codebook.encode(_unsqueezed(b.as_py())) for b in batch["ids"]]
+            starts = [before[p] + b for p, b in zip(batch["part"].to_pylist(), batch["before"].to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["part"],
+                    pa.array(starts, pa.int64()),
+                    pa.array([c[0] for c in coded], pa.binary()),
+                    pa.array([c[1] for c in coded], pa.binary()),
+                    batch["doc_ids"],
+                    batch["lengths"],
+                ],
+                ["part", "first_start", "bits", "checkpoints", "doc_ids", "lengths"],
             )
 
-        for batch in batches:
-            for doc, of, blob in zip(
-                batch["doc_id"].to_pylist(), batch["part"].to_pylist(), batch["ids"]
-            ):
-                if of != part:
-                    if held:
-                        yield block()
-                    part, start, held, size = of, before[of], [], 0
-                numbers = np.frombuffer(blob.as_buffer(), np.uint32)
-                if held and size + len(numbers) > BLOCK_TOKENS:
-                    yield block()
-                    held, size = [], 0
-                held.append((doc, start, numbers))
-                start, size = start + len(numbers), size + len(numbers)
-        if held:
-            yield block()
-
-    # A range partition may have been written as several files: bring it together in order.
-    (
-        ids.repartition(max(1, len(parts)), "part")
-        .sortWithinPartitions("part", "doc_id", "_row")
-        .select("doc_id", "part", "ids")
-        .mapInArrow(pack, BLOCKS)
-        .write.parquet(f"{path}/blocks")
-    )
+    ids.mapInArrow(pack, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read_lengths(spark: SparkSession, path: str) -> dict[int, int]:
@@ -310,9 +371,8 @@ def decoded(spark: SparkSession, path: str, form: str = "ids") -> DataFrame:
         codebook = Codebook(book.value)
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, starts, lengths = (
-                    batch[c][row].as_py() for c in ("doc_ids", "starts", "lengths")
-                )
+                doc_ids, lengths = batch["doc_ids"][row].as_py(), batch["lengths"][row].as_py()
+                starts = batch["first_start"][row].as_py() + np.cumsum([0, *lengths[:-1]])
                 n = sum(lengths)
                 numbers = codebook.decode(batch["bits"][row].as_py(), batch["checkpoints"][row].as_py(), n)
                 each = np.split(numbers, np.cumsum(lengths)[:-1])
@@ -329,7 +389,7 @@ def decoded(spark: SparkSession, path: str, form: str = "ids") -> DataFrame:
                     ["doc_id", "start", "n_tokens", name],
                 )
 
-    blocks = spark.read.parquet(f"{path}/blocks").drop("part", "first_start")
+    blocks = spark.read.parquet(f"{path}/blocks").drop("part")
     return blocks.mapInArrow(
         unpack,
         f"doc_id long, start long, n_tokens long, {name} {'array<bigint>' if form == 'ids' else 'long'}",

@@ -123,36 +123,39 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.per_doc)), self.per_doc)
 
-    def _slices(self):
-        """Runs of whole words of about ``SLICE`` bytes."""
-        a = 0
-        while a < len(self.start):
-            b = int(np.searchsorted(self.end, self.start[a] + SLICE, "right"))
-            b = max(b, a + 1)
-            yield a, b
-            a = b
-
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         return self.hashed([None])[0]
 
     def hashed(self, prefixes: list[int | None]) -> list[np.ndarray]:
-        """Per entry a hash of each word's first so many bytes (0 if it is shorter), None: of all."""
-        out = [np.empty(len(self.start), np.uint64) for _ in prefixes]
-        for a, b in self._slices():
-            lo, hi = self.start[a], self.end[b - 1]
-            powers = np.cumprod(np.full(hi - lo + 1, _BASE))
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(self.low[lo:hi] * powers[:-1], out=sums[1:])
-            s, e = self.start[a:b] - lo, self.end[a:b] - lo
-            back, before = np.cumprod(np.full(hi - lo + 1, _INVERSE))[s] * _BASE, sums[s]
-            for k, prefix in enumerate(prefixes):
-                stop = e if prefix is None else np.minimum(e, s + prefix)
-                part = mixed((sums[stop] - before) * back)
-                if prefix is not None:
-                    part[e - s < prefix] = 0
-                out[k][a:b] = part
-        return out
+        return span_hashes(self.low, self.start, self.end, prefixes)
+
+
+def span_hashes(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, prefixes: list[int | None]
+) -> list[np.ndarray]:
+    """Per entry of ``prefixes`` a hash of each span's first so many bytes (0 if it is shorter), None: of all.
+
+    Spans are in order and don't overlap; they are taken in runs of about ``SLICE`` bytes.
+    """
+    out = [np.empty(len(start), np.uint64) for _ in prefixes]
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + SLICE, "right")))
+        lo, hi = start[a], end[b - 1]
+        powers = np.cumprod(np.full(hi - lo + 1, _BASE))
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(data[lo:hi] * powers[:-1], out=sums[1:])
+        s, e = start[a:b] - lo, end[a:b] - lo
+        back, before = np.cumprod(np.full(hi - lo + 1, _INVERSE))[s] * _BASE, sums[s]
+        for k, prefix in enumerate(prefixes):
+            stop = e if prefix is None else np.minimum(e, s + prefix)
+            part = mixed((sums[stop] - before) * back)
+            if prefix is not None:
+                part[e - s < prefix] = 0
+            out[k][a:b] = part
+        a = b
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
