@@ -11,6 +11,7 @@ from bolide.llm import (
     exact_dedup,
     huffman_ids,
     icws_dedup,
+    line_dedup,
     lm_difference,
     packing,
     phrase_index,
@@ -56,6 +57,10 @@ def op4_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("n_near_items")
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(table(spark, folder, "documents"))
+
+
 def op6_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
     return quality_mil.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_shard_tree,
         op3_huffman_ids,
         op4_phrase_index,
+        op5_line_dedup,
         op6_quality_mil,
         op7_packing,
         op8_icws_dedup,
