@@ -2,12 +2,14 @@
 
 ``members`` (key, id) says who shares a bucket; a link is a pair of one bucket that
 ``verify`` confirms. Wanted are the connected groups of all links. Most members of a
-bucket are linked to one of a few others, so comparisons go by rounds: each member is
-compared with the bucket's pivots of *other* groups only, and what is linked is merged
-before the next round. A member is a pivot of its bucket (n members) in round k if its
-hash is below ``FACTOR``^k / n, so pivots grow from about one a bucket to all of
-it, and buckets whose members have come together drop out. The last round has compared
-every pair of a bucket whose ends are still apart: no link can be missing.
+bucket are linked to one of a few central ones, so comparisons go by rounds: each member
+is compared with the bucket's pivots of *other* groups only, and what is linked is merged
+before the next round. The first pivot of a bucket is the member that shares most buckets
+with others. After these rounds the members of a bucket that is still in several groups
+are pivots in round k if their hash is below ``FACTOR``^k / n, so pivots grow from a few a bucket to
+all of it, and buckets whose members have come together drop out. ``bound`` may rule out
+pairs that can't be links before they are formed. The last round has compared or
+ruled out every pair of a bucket whose ends are still apart: no link can be missing.
 """
 
 from __future__ import annotations
@@ -29,44 +31,60 @@ def _share(*names: str):
     return F.shiftrightunsigned(F.xxhash64(*names), 11) / F.lit(_SPACE)
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_groups(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    bound: Callable[[DataFrame], DataFrame] | None = None,
+    least: float = 0.0,
+) -> DataFrame:
     """(node, label) of every id in a bucket of two or more: equal labels are one group.
 
-    ``verify`` takes pairs (a, b) and returns those that are links.
+    ``verify`` takes pairs (a, b) and returns those that are links. ``bound`` takes the ids (id) still to
+    be compared and gives their ``total`` weight and the weight ``shared`` with any other of
+    them; a pair's similarity, weight in both by weight in either, must reach ``least``.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(_share("id", "key").alias("share"), "id")).alias("first"))
-    live = settle(
-        members.join(sizes.filter("n > 1"), "key").select(
-            "key", "id", "n", _share("id", "key").alias("share"), F.col("first.id").alias("pivot")
-        ),
-        "members",
-    )
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = settle(members.join(sizes, "key"), "sized")
+    mates = sized.groupBy("id").agg(F.sum("n").alias("mates"))
+    live = sized.join(mates, "id").withColumn("share", _share("id", "key"))
+    pivots = live.groupBy("key").agg(F.max_by("id", F.struct("mates", "share")).alias("pivot"))
+    live = settle(live.join(pivots, "key"), "members")
     labels = settle(live.select(F.col("id").alias("node"), F.col("id").alias("label")).distinct(), "labels")
     # First the pivot of each member's largest bucket, one comparison a member ...
     nearest = live.groupBy("id").agg(F.max_by("pivot", F.struct("n", "key")).alias("pivot"))
     labels = _merged(labels, nearest.select(F.col("id").alias("a"), F.col("pivot").alias("b")), verify)
     # ... then the pivots of its other buckets that are still in another group.
-    apart = _labelled(live, labels)
-    first = _labelled(
-        apart.select("key", "id", "label", "n", "share", "pivot"), labels, "pivot", "of_pivot"
-    ).filter("label <> of_pivot")
-    labels = _merged(labels, first.select(F.col("id").alias("a"), F.col("pivot").alias("b")), verify)
-    live = live.select("key", "id", "n", "share")
-    bound = 1
+    apart = _labelled(_labelled(live, labels), labels, "pivot", "of_pivot").filter("label <> of_pivot")
+    labels = _merged(labels, apart.select(F.col("id").alias("a"), F.col("pivot").alias("b")), verify)
+    live = _still_apart(live.select("key", "id", "n", "share"), labels)
+    possible = F.lit(True)
+    if bound is not None and not live.isEmpty():
+        weights = bound(live.select("id").distinct())
+        live = live.join(weights.filter(F.col("shared") >= least * F.col("total")), "id").drop("label")
+        both = F.least("shared", "shared_b")
+        possible = both >= least * (F.col("total") + F.col("total_b") - both)
+    else:
+        live = live.drop("label")
+    reach = 1
     while True:
         live = _still_apart(live, labels)
-        if live.isEmpty():
-            return labels
-        # Pivots of the round before have been compared with everybody.
-        now = live.filter(F.col("share") * F.col("n") < bound * FACTOR)
-        new = now.filter(F.col("share") * F.col("n") >= (bound if bound > 1 else 0))
-        left = live.select("key", "id", "label", "share", "n")
-        right = new.select("key", F.col("id").alias("b"), F.col("label").alias("of_b"), F.col("share").alias("share_b"))
-        pairs = left.join(right, "key").filter("label <> of_b and (share > share_b or (share = share_b and id < b))")
-        labels = _merged(labels, pairs.select(F.col("id").alias("a"), "b"), verify)
         largest = live.agg(F.max("n")).first()[0]
-        bound *= FACTOR
-        if bound >= largest:
+        if largest is None:
+            return labels
+        # Those that were pivots before have been compared with everybody.
+        rank = F.col("share") * F.col("n")
+        new = live.filter((rank < reach * FACTOR) & (rank >= (reach if reach > 1 else 0)))
+        right = new.select("key", *[F.col(c).alias(f"{c}_b") for c in live.columns if c != "key"])
+        pairs = live.join(
+            right,
+            (live["key"] == right["key"])
+            & (F.col("label") != F.col("label_b"))
+            & (F.struct("share", "id") > F.struct("share_b", "id_b"))
+            & possible,
+        )
+        labels = _merged(labels, pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")), verify)
+        reach *= FACTOR
+        if reach >= largest:
             return labels
 
 
@@ -77,7 +95,7 @@ def _labelled(df: DataFrame, labels: DataFrame, name: str = "id", out: str = "la
 
 def _still_apart(live: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one group, with their current label."""
-    now = settle(_labelled(live.select("key", "id", "n", "share"), labels), "live")
+    now = settle(_labelled(live.drop("label"), labels), "live")
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     return settle(now.join(mixed.filter("low < high").select("key"), "key", "left_semi"), "live")
 

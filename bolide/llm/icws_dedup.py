@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bolide.llm.exchange import OUT, buckets_for, chunked, key48, packed, tally, texts, totals_of
 from bolide.llm.grouping import linked_groups
-from bolide.llm.shared import Words, mixed, numbered
+from bolide.llm.shared import Words, mixed, numbered, pieces
 from bolide.plans.settle import settle
 
 SHINGLE = 5
@@ -237,6 +237,52 @@ def verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long")
 
 
+def shared_weights(ids: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Of each id the total weight, and the weight of shingles that another of ``ids`` has too."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "vector"):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["id"].slice(0, 1),
+                        pa.array([part["id"].to_pylist()], pa.list_(pa.int64())),
+                        pa.array([part["vector"].to_pylist()], pa.list_(pa.binary())),
+                    ],
+                    ["chunk", "ids", "vectors"],
+                )
+
+    rows = vectors.join(ids, "id", "left_semi").select("id", "vector")
+    rows = settle(rows.mapInArrow(gather, "chunk long, ids array<bigint>, vectors array<binary>"), "gathered")
+    buckets = buckets_for(rows.count())
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blobs in zip(batch["chunk"].to_pylist(), batch["vectors"].to_pylist()):
+                every = np.concatenate([_opened(b)[0] for b in blobs])
+                found, n = np.unique(key48(every), return_counts=True)
+                yield packed(chunk, found, n[:, None], buckets)
+
+    def weigh(chunk: pa.Table, back: pa.Table) -> pa.Table:
+        opened = [_opened(b) for b in chunk["vectors"][0].as_py()]
+        k, w = key48(np.concatenate([o[0] for o in opened])), np.concatenate([o[1] for o in opened])
+        _, at = np.unique(k, return_inverse=True)
+        w2 = w * (totals_of(back, 1, 0, buckets)[at, 0] > 1)
+        cuts = np.cumsum([0, *[len(o[0]) for o in opened]])[:-1]
+        return pa.table(
+            {
+                "id": chunk["ids"][0].values,
+                "total": np.add.reduceat(w, cuts).astype(np.float64),
+                "shared": np.add.reduceat(w2, cuts).astype(np.float64),
+            }
+        )
+
+    back = tally(rows.select("chunk", "vectors").mapInArrow(keys, OUT), 1)
+    right = back.select("chunk", "bucket", "totals").groupBy("chunk")
+    found = rows.groupBy("chunk").cogroup(right).applyInArrow(weigh, "id long, total double, shared double")
+    return settle(found, "weights")
+
+
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``_row``, doc_id and the class's first doc_id.
 
@@ -260,7 +306,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = settle(bands.join(shared, "key", "left_semi"), "shared")
     wanted = members.select("id").distinct().join(rows.select(F.col("_row").alias("id"), "chunk"), "id")
     vectors = _vectors(chunks, frequencies, wanted, documents, buckets)
-    labels = linked_groups(members, lambda pairs: verified(pairs, vectors, least))
+    labels = linked_groups(
+        members,
+        lambda pairs: verified(pairs, vectors, least),
+        lambda ids: shared_weights(ids, vectors),
+        least,
+    )
     named = nodes.join(labels, F.col("first._row") == F.col("node"), "left").select(
         "digest", "first", F.coalesce("label", "first._row").alias("label")
     )

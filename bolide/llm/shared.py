@@ -74,6 +74,8 @@ LOWERED = _word_bytes()
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes in a row and each value's offset in them; null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     column = column.cast(pa.large_binary())
