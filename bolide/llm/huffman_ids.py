@@ -20,6 +20,7 @@ longer than a block makes a block of its own. An empty table gives empty files.
 from __future__ import annotations
 
 import heapq
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,9 +38,11 @@ from bolide.plans.settle import checkpoint_root, settle
 MAX_BITS = 16
 STRIDE = 256
 # Text of a block's documents, in bytes.
-BLOCK_BYTES = 4 << 20
-# Spellings a task remembers.
-REMEMBERED = 4_000_000
+BLOCK_BYTES = 2 << 20
+# Spellings a worker process remembers.
+REMEMBERED = 3_000_000
+# New words that go to the tokenizer at a time.
+NEW_WORDS = 20_000
 
 RAW = "part int, before long, doc_ids array<bigint>, lengths array<int>, ids binary"
 BLOCKS = (
@@ -78,6 +81,8 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str):
+        # Tasks run side by side already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
@@ -109,20 +114,32 @@ class Encoder:
             out[i] = np.array(ids, np.uint32)
         return out
 
-    def _learn(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        distinct, at = np.unique(hashes, return_index=True)
-        fresh = ~np.isin(distinct, self.known, assume_unique=True)
+    def _has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return self.known[at] == hashes
+
+    def _learn(
+        self, distinct: np.ndarray, at: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray
+    ) -> None:
+        """Encode the words among ``distinct`` hashes that are new; word ``at[i]`` is one of hash i."""
+        fresh = ~self._has(distinct)
         if len(self.known) + fresh.sum() > REMEMBERED:
             self._forget()
             fresh[:] = True
         distinct, at = distinct[fresh], at[fresh]
         if not len(distinct):
             return
-        data = raw.tobytes()
-        got = self._of_words([data[a:b].decode() for a, b in zip(start[at], end[at])])
-        count = np.array([len(g) for g in got], np.int64)
+        data, parts, counts = raw.tobytes(), [self.pool], []
+        for i in range(0, len(at), NEW_WORDS):
+            some = at[i : i + NEW_WORDS]
+            got = self._of_words([data[a:b].decode() for a, b in zip(start[some], end[some])])
+            counts += [len(g) for g in got]
+            parts.append(np.concatenate(got))
+        count = np.array(counts, np.int64)
         first = len(self.pool) + np.cumsum(count) - count
-        self.pool = np.concatenate([self.pool, *got])
+        self.pool = np.concatenate(parts)
         order = np.argsort(np.concatenate([self.known, distinct]), kind="stable")
         self.known = np.concatenate([self.known, distinct])[order]
         self.first = np.concatenate([self.first, first])[order]
@@ -142,8 +159,9 @@ class Encoder:
         plain = ~whole[doc]
         start, end, doc = start[plain], end[plain], doc[plain]
         hashes = span_hashes(raw, start, end, [None])[0]
-        self._learn(hashes, raw, start, end)
-        at = np.searchsorted(self.known, hashes)
+        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        self._learn(distinct, one, raw, start, end)
+        at = np.searchsorted(self.known, distinct)[which]
         count = self.count[at]
         place = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         numbers, lengths = self.pool[place], np.bincount(doc, count, n).astype(np.int64)
@@ -159,6 +177,16 @@ class Encoder:
         return np.concatenate(parts), lengths
 
 
+def _encoder(tokenizer: str) -> Encoder:
+    """The worker process's encoder: later tasks of the process find the words of earlier ones."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_corpus_encoders", {})
+    if tokenizer not in held:
+        held[tokenizer] = Encoder(tokenizer)
+    return held[tokenizer]
+
+
 def _ended(numbers: np.ndarray, lengths: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Each text's ids with the end id after them."""
     if end_id is None:
@@ -175,7 +203,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = Encoder(tokenizer), 0
+        encoder, before = _encoder(tokenizer), 0
         for batch in batches:
             for piece in pieces(batch, "text", BLOCK_BYTES):
                 numbers, lengths = _ended(*encoder.ids(piece["text"]), end_id)
