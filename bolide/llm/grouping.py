@@ -65,22 +65,27 @@ def linked_groups(
         possible = both >= least * (F.col("total") + F.col("total_b") - both)
     else:
         live = live.drop("label")
+    # A pair is formed once, in the first bucket that both are in.
+    own = live.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    live = settle(live.join(own, "id"), "live")
     reach = 1
     while True:
         live = _still_apart(live, labels)
         largest = live.agg(F.max("n")).first()[0]
         if largest is None:
             return labels
+        once = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")
         # Those that were pivots before have been compared with everybody.
         rank = F.col("share") * F.col("n")
         new = live.filter((rank < reach * FACTOR) & (rank >= (reach if reach > 1 else 0)))
-        right = new.select("key", *[F.col(c).alias(f"{c}_b") for c in live.columns if c != "key"])
+        right = new.select(*[F.col(c).alias(f"{c}_b") for c in live.columns])
         pairs = live.join(
             right,
-            (live["key"] == right["key"])
+            (F.col("key") == F.col("key_b"))
             & (F.col("label") != F.col("label_b"))
             & (F.struct("share", "id") > F.struct("share_b", "id_b"))
-            & possible,
+            & possible
+            & once,
         )
         labels = _merged(labels, pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")), verify)
         reach *= FACTOR
