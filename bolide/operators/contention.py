@@ -42,14 +42,8 @@ def mutual_first(pairs: DataFrame) -> DataFrame:
     both = contention_ranks(pairs).join(
         contention_counts(pairs).drop("t"), ["rock", "slug"]
     )
-    s_n, r_n = F.col("slug_count"), F.col("rock_count")
-    s_k, r_k = F.col("slug_rank"), F.col("rock_rank")
-    keep = (
-        ((s_n == 1) & (r_n == 1))
-        | ((s_n == 1) & (r_n > 1) & (r_k == 1))
-        | ((r_n == 1) & (s_n > 1) & (s_k == 1))
-        | ((r_n > 1) & (s_n > 1) & (s_k == r_k))
-    )
+    # Where a side is uncontested its rank is 1, so equal ranks cover that case too.
+    keep = F.col("slug_rank") == F.col("rock_rank")
     return both.filter(keep).orderBy("rock", "slug")
 
 

@@ -96,8 +96,21 @@ def _round(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
         F.count_distinct("s_launch").alias("_s"),
     )
     free = F.col("_e") == F.col("_both")
-    whole = F.col("_e") == F.col("_r") * F.col("_s")
-    settled_firsts = firsts.join(places.filter(free).withColumn("whole", whole), _PLACE)
+    # A class that is first at several places at once can't be zipped at each of them.
+    several = [
+        firsts.groupBy(launch)
+        .agg(F.count_distinct(F.struct(*_PLACE)).alias("_n"))
+        .filter("_n > 1")
+        .select(launch)
+        for launch in ("r_launch", "s_launch")
+    ]
+    split = firsts.join(several[0], "r_launch", "left_semi").select(*_PLACE)
+    split = split.union(firsts.join(several[1], "s_launch", "left_semi").select(*_PLACE))
+    split = split.distinct().withColumn("_split", F.lit(True))
+    whole = (F.col("_e") == F.col("_r") * F.col("_s")) & F.col("_split").isNull()
+    settled_firsts = firsts.join(
+        places.filter(free).join(split, _PLACE, "left").withColumn("whole", whole), _PLACE
+    )
 
     # Everyone at the place meets everyone: pair the k-th rock with the k-th slug.
     zipped = settled_firsts.filter("whole")

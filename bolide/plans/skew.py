@@ -148,7 +148,7 @@ def as_of_join(
     return (
         both.withColumn("_near", F.last("_version", ignorenulls=True).over(near))
         .filter("_probe = 1")
-        .join(carried, (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+        .join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_chunk").eqNullSafe(F.col("_c")))
         .withColumn("_found", found)
         .select(
             *[F.col(f"_row.{c}").alias(c) for c in probe_cols],

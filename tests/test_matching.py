@@ -106,3 +106,13 @@ def test_fold_agrees(spark):
     df = spark.createDataFrame(sorted(pairs), "rock long, slug long, t double")
     assert rows(matching.match_by_fold(df)) == brute.in_order(pairs)
     assert rows(matching.match_pairs(df, ["t", "rock", "slug"], 0)) == brute.in_order(pairs)
+
+
+def test_one_rock_first_at_two_places_is_hit_once(spark):
+    """Both slugs meet the rock at one time, at radii that round apart."""
+    rocks = [(1, "r", 4, None, 0.0, 0.0, 0.1, 0.0, 0.1, 42.245000000000005, 0.0)]
+    slugs = [(1, "a", None, 29.772499999999994, 0.1, 0.1, 1.0), (2, "b", None, 69.0, 0.1, 0.1, 14.0)]
+    slugs += [(10 + i, "c", None, 5.0 + i, 1.0 + i / 10, 1.0, 3.0) for i in range(5)]
+    r, s = frames(spark, rocks, slugs)
+    got = rows(matching.ordered_matching(r, s, budget=3.0, tail=0, class_tail=0))
+    assert {(rock, slug) for rock, slug, _ in got} == {(1, 1)}
