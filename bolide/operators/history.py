@@ -13,12 +13,20 @@ def month_of(at: Column) -> Column:
 
 
 def history_intervals(
-    changes: DataFrame, key: str = "obj_id", at: str = "changed_at", seq: str = "seq"
+    changes: DataFrame,
+    key: str = "obj_id",
+    at: str = "changed_at",
+    seq: str = "seq",
+    deleted: Column | None = None,
 ) -> DataFrame:
-    """Each version with its period [valid_from, valid_to); the last one is open."""
-    return with_next(
+    """Each version with its period [valid_from, valid_to); the last one is open.
+
+    Changes for which ``deleted`` holds end the version before them and are none themselves.
+    """
+    spans = with_next(
         changes.withColumn("valid_from", F.col(at)), [key], [at, seq], month_of(F.col(at)), at, "valid_to"
     ).drop(at)
+    return spans if deleted is None else spans.filter(~F.coalesce(deleted, F.lit(False)))
 
 
 def history_as_of(

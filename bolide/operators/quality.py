@@ -35,12 +35,17 @@ def launch_time(clock: Column, now: Column, zone: str) -> Column:
 
 
 def validated(
-    requests: DataFrame, angles: list[str], offset_s: Column, malformed: Column | None = None
+    requests: DataFrame,
+    angles: list[str],
+    offset_s: Column,
+    malformed: Column | None = None,
+    fired_text: Column | None = None,
 ) -> DataFrame:
     """Requests with parsed angles, a default name and a reason for rejection.
 
     ``offset_s`` is the launch time minus the request time in seconds, null
-    for an immediate launch. Unnamed requests are numbered in order of arrival,
+    for an immediate launch. Where ``fired_text`` was given and yet gave no offset, the
+    firing time is bad. Unnamed requests are numbered in order of arrival,
     in tens; the numbering is chunked by minute.
     """
     unnamed = F.col("name").isNull()
@@ -57,6 +62,7 @@ def validated(
     reason = (
         F.when(F.lit(False) if malformed is None else malformed, "malformed")
         .when(bad_angle, "bad angle")
+        .when(F.lit(False) if fired_text is None else fired_text.isNotNull() & offset_s.isNull(), "bad firing time")
         .when(offset_s < 0, "in the past")
         .when(offset_s > MAX_AHEAD_S, "too far ahead")
     )
@@ -73,6 +79,21 @@ def accepted(requests: DataFrame) -> DataFrame:
     return requests.filter(F.col("reject_reason").isNull())
 
 
+def launched(
+    requests: DataFrame, key: str, fired_s: Column, theta: Column, phi: Column, speed: Column
+) -> DataFrame:
+    """The slug of each accepted request."""
+    return accepted(requests).select(
+        F.col(key).alias("id"),
+        "name",
+        F.lit(None).cast("string").alias("target") if "target" not in requests.columns else "target",
+        fired_s.alias("fired_s"),
+        theta.alias("theta"),
+        phi.alias("phi"),
+        speed.alias("v"),
+    )
+
+
 def rate_limit_violations(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
     """Clients with more requests than ``limit`` in a fixed window."""
     return (

@@ -341,6 +341,31 @@ def cascade_fragments(rule: str) -> Query:
     )
 
 
+def _world(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rocks with all their fragments, and the hits of the cascade."""
+    family = _family(spark, d)
+    found = _cascade(spark, d, "continuous")[0].select("rock", "slug", "t")
+    return family, views.hit_details(found, family, slugs(spark, d))
+
+
+def world_objects(spark: SparkSession, d: str) -> DataFrame:
+    family, found = _world(spark, d)
+    return views.active_objects(family, slugs(spark, d), found, AS_OF)
+
+
+def active_objects_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return world_objects(spark, d).select("type", "id", "name", "pos_r", "octant", "collided_s")
+
+
+def observe_octant_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return views.observe_octant(world_objects(spark, d), 1)
+
+
+def impacts_cascade(spark: SparkSession, d: str) -> DataFrame:
+    family, found = _world(spark, d)
+    return views.impacts(family, found, 600.0)
+
+
 def _family(spark: SparkSession, d: str) -> DataFrame:
     frags = _cascade(spark, d, "continuous")[1]
     return fragments.with_family(rocks(spark, d)).unionByName(frags)
@@ -351,7 +376,7 @@ def family_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_by_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return fragments.family_by_prefix(_family(spark, d), "Supplier#0000000").select("id", "name")
+    return fragments.family_by_prefix(_family(spark, d), "Supplier#00000000").select("id", "name")
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -506,6 +531,13 @@ def history_as_of_join(spark: SparkSession, d: str) -> DataFrame:
     ).select("l_orderkey", "l_linenumber", "obj_id", "seq", "status", "amount")
 
 
+def history_with_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """Periods of a feed in which the changes to status P are deletions."""
+    return history.history_intervals(_feed(spark, d), deleted=F.col("status") == "P").select(
+        "obj_id", "seq", "status", "amount", "valid_from", "valid_to"
+    )
+
+
 def field_changes(spark: SparkSession, d: str) -> DataFrame:
     return history.field_changes(_feed(spark, d), "status").select(
         "obj_id", "seq", "old_status", "new_status"
@@ -529,6 +561,26 @@ def validate_requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    clock = quality.launch_time(F.col("fired"), F.col("ts"), "UTC")
+    timed = tables.timed_requests(spark, d).withColumn("launch", clock)
+    offset = (F.unix_micros("launch") - F.unix_micros("ts")) / 1e6
+    return quality.validated(timed, ["theta_txt"], offset, fired_text=F.col("fired"))
+
+
+def validate_launch_times(spark: SparkSession, d: str) -> DataFrame:
+    return _timed(spark, d).select("event_id", "name", "fired", "reject_reason")
+
+
+def accepted_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs of the accepted requests; without a clock time they start at once."""
+    start = F.coalesce("launch", "ts")
+    fired_s = (F.unix_micros(start) - F.unix_micros(F.lit(EPOCH).cast("timestamp"))) / 1e6
+    return quality.launched(
+        _timed(spark, d), "event_id", fired_s, F.col("theta_txt_rad"), F.lit(0.1), F.lit(NEW_SLUG["v"])
+    )
+
+
 def rate_limit_violations(spark: SparkSession, d: str) -> DataFrame:
     found = quality.rate_limit_violations(tables.requests(spark, d), 3600, 1)
     return found.withColumn(
@@ -537,9 +589,14 @@ def rate_limit_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
-    return quality.constraint_violations(
-        rocks(spark, d), ["name", "target", "mass", *views.ROCK_PARAMS]
+    """Of rocks with gaps: no name for every fourth id, no speed for those of mass 3."""
+    gaps = rocks(spark, d).withColumns(
+        {
+            "name": F.when(F.col("id") % 4 != 0, F.col("name")),
+            "v": F.when(F.col("mass") != 3, F.col("v")),
+        }
     )
+    return quality.constraint_violations(gaps, ["name", "mass", *views.ROCK_PARAMS])
 
 
 def matching_invariants(spark: SparkSession, d: str) -> DataFrame:
@@ -552,6 +609,31 @@ def dangling_references(spark: SparkSession, d: str) -> DataFrame:
     return quality.dangling_references(hits(spark, d), "rock", kept).select("rock", "slug", "t")
 
 
+def dangling_references_all(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and fragments whose rock, slug or hit is gone.
+
+    Removed are rocks on turning courses, every tenth slug, and hits from second 300 on.
+    """
+    found, pieces = hits(spark, d), first_generation_fragments(spark, d)
+    source = rocks(spark, d).select(F.col("id").alias("source_rock"), F.col("name").alias("root_name"))
+    pieces = pieces.join(source, "root_name").withColumn("source_hit", F.col("source_rock"))
+    kept_rocks = rocks(spark, d).filter("m_phi = 0")
+    kept_slugs = slugs(spark, d).filter("id % 10 <> 0")
+    kept_hits = found.filter("t < 300")
+
+    def gone(child: DataFrame, column: str, parent: DataFrame, key: str, own: str) -> DataFrame:
+        return quality.dangling_references(child, column, parent, key).select(
+            F.lit(column).alias("column"), F.col(own).alias("id")
+        )
+
+    return (
+        gone(found, "rock", kept_rocks, "id", "rock")
+        .unionByName(gone(found, "slug", kept_slugs, "id", "slug"))
+        .unionByName(gone(pieces, "source_rock", kept_rocks, "id", "id"))
+        .unionByName(gone(pieces, "source_hit", kept_hits, "rock", "id"))
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "scan_rocks": rocks,
@@ -632,4 +714,11 @@ def queries() -> dict[str, Query]:
         "constraint_violations": constraint_violations,
         "matching_invariants": matching_invariants,
         "dangling_references": dangling_references,
+        "dangling_references_all": dangling_references_all,
+        "active_objects_cascade": active_objects_cascade,
+        "observe_octant_cascade": observe_octant_cascade,
+        "impacts_cascade": impacts_cascade,
+        "history_with_deletes": history_with_deletes,
+        "validate_launch_times": validate_launch_times,
+        "accepted_slugs": accepted_slugs,
     }

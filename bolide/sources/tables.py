@@ -82,6 +82,15 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def timed_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests with the launch as clock text: none for every fifth, not readable for every seventh."""
+    ts, event = F.col("ts").cast("timestamp"), F.col("event_id")
+    later = F.timestamp_micros(F.unix_micros(ts) + F.col("fire_offset_s") * F.lit(1000000).cast("long"))
+    text = F.when(event % 7 == 0, F.lit("not a time")).otherwise(F.date_format(later, "HH:mm:ss"))
+    fired = F.when(event % 5 != 0, text)
+    return requests(spark, folder).withColumn("fired", fired).withColumn("ts", ts)
+
+
 def changes(spark: SparkSession, folder: str) -> DataFrame:
     """Versioned feed ordered by (changed_at, seq) per object."""
     return table(spark, folder, "orders").select(

@@ -38,6 +38,17 @@ class VersionedTables:
         where = f"{self.path}/{name}/batch={batch}"
         return self.spark.read.schema(self.schemas[name]).parquet(where)
 
+    def read_all(self, name: str, before: int | None = None) -> DataFrame:
+        """What each committed batch, optionally among those before a batch, wrote, with ``batch``."""
+        schema = f"{self.schemas[name]}, batch long"
+        commits = self._commits()
+        if commits is None:
+            return self.spark.createDataFrame([], schema)
+        if before is not None:
+            commits = commits.filter(F.col("batch") < before)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return rows.join(commits, "batch", "left_semi").select(*rows.columns)
+
     def write(self, name: str, batch: int, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
         return self.read(name, batch)

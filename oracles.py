@@ -160,10 +160,10 @@ def _sighting(name: str, source: str, r: str, theta: str, phi: str, keep: str, s
 from {name}_4 o left join hits h on o.id = h.{side})"""
 
 
-def rocks_at(name: str = "rocks_at", at: float = 300) -> str:
+def rocks_at(name: str = "rocks_at", at: float = 300, rocks: str = "rocks") -> str:
     keep = "o.mass, o.fired_s, " + ", ".join(f"o.{c}" for c in TRACK)
     return _sighting(
-        name, "rocks", "r_0 + v * age", "m_theta * age + b_theta", "m_phi * age + b_phi", keep, "rock", at
+        name, rocks, "r_0 + v * age", "m_theta * age + b_theta", "m_phi * age + b_phi", keep, "rock", at
     )
 
 
@@ -181,7 +181,7 @@ SEEN = (
 )
 
 
-def all_objects(name: str = "all_objects", at: float = 300) -> list[str]:
+def all_objects(name: str = "all_objects", at: float = 300, rocks: str = "rocks") -> list[str]:
     seen = ", ".join(SEEN)
     s_seen = ", ".join("cast(1 as bigint) as mass" if c == "mass" else c for c in SEEN)
     r_params = ", ".join(f"{c} as rock_params_{c}" for c in TRACK)
@@ -189,17 +189,17 @@ def all_objects(name: str = "all_objects", at: float = 300) -> list[str]:
     s_params = ", ".join(f"{c} as slug_params_{c}" for c in ("theta", "phi", "v"))
     no_s = ", ".join(f"cast(null as double) as slug_params_{c}" for c in ("theta", "phi", "v"))
     return [
-        rocks_at(f"{name}_r", at),
+        rocks_at(f"{name}_r", at, rocks),
         slugs_at(f"{name}_s", at),
         f"""{name} as (select 'rock' as type, {seen}, {r_params}, {no_s} from {name}_r
 union all select 'slug' as type, {s_seen}, {no_r}, {s_params} from {name}_s)""",
     ]
 
 
-def active(name: str = "active", at: float = 300) -> list[str]:
+def active(name: str = "active", at: float = 300, rocks: str = "rocks") -> list[str]:
     T = f"cast({at} as double)"
     return [
-        *all_objects(f"{name}_all", at),
+        *all_objects(f"{name}_all", at, rocks),
         f"""{name} as (select * from {name}_all where fired_s <= {T}
  and (collided_s is null or collided_s > {T}) and pos_r >= 0)""",
     ]
@@ -280,6 +280,36 @@ from g, lateral (select * from (
     ]
 
 
+def world() -> list[str]:
+    """Rocks with all fragments, and the hits of the cascade."""
+    none = ", ".join(f"cast(null as double) as {c}" for c in HIT_COLUMNS)
+    rest = ", ".join(["mass", "target", "fired_s", *TRACK])
+    born = rest.replace("target", "cast(null as varchar)")
+    return [
+        *cascade("continuous"),
+        f"""world as materialized (select id, name, {rest} from rocks union all
+ select id, root_name || ' ' || {roman("gen")} as name, {born} from fragments)""",
+        f"hits as (select rock, slug, t, {none} from g where rock is not null)",
+    ]
+
+
+def timed_requests() -> list[str]:
+    """Requests with clock text, the launch read from it, and the reason for rejection."""
+    return [
+        REQUESTS,
+        """clocked as (select *, case when event_id % 5 = 0 then null when event_id % 7 = 0 then 'not a time'
+ else strftime(ts + to_seconds(fire_offset_s), '%H:%M:%S') end as fired,
+ row_number() over (partition by name is null order by ts, event_id) * 10 as shot from requests)""",
+        """launches as (select *, try_strptime(strftime(ts, '%Y-%m-%d') || ' ' || fired, '%Y-%m-%d %H:%M:%S') as launch
+ from clocked)""",
+        """timed as (select event_id, ts, launch, fired, coalesce(name, 'shot #' || cast(shot as varchar)) as name,
+ try_cast(theta_txt as double) as theta, case when try_cast(theta_txt as double) is null then 'bad angle'
+ when fired is not null and launch is null then 'bad firing time'
+ when launch < ts then 'in the past' when launch > ts + to_seconds(300) then 'too far ahead' end as reject_reason
+ from launches)""",
+    ]
+
+
 def pieces() -> list[str]:
     """Static breakup by recursion over levels."""
     half = ONE_PI + " / 4"
@@ -525,7 +555,7 @@ from hits h join rocks r on h.rock = r.id where r.mass > 1""",
         ),
         "family_by_prefix": sql(
             *cascade("continuous"), family,
-            then="select id, name from family where name like 'Supplier#0000000%'",
+            then="select id, name from family where name like 'Supplier#00000000%'",
         ),
         "static_fragments": sql(*pieces(), then="select * exclude (id) from pieces"),
         "fragment_collisions": sql(
@@ -664,7 +694,9 @@ asof left join (select * from latest where k = 1) c on p.obj_id = c.obj_id and p
  count(*) as requests from requests group by client, date_trunc('hour', ts) having count(*) > 1""",
         ),
         "constraint_violations": sql(
-            ROCKS, then="""select id, 'target' as "column" from rocks where target is null"""
+            ROCKS,
+            then="""select id, 'name' as "column" from rocks where id % 4 = 0
+union all select id, 'v' as "column" from rocks where mass = 3""",
         ),
         "matching_invariants": sql(
             *HITS,
@@ -675,6 +707,39 @@ asof left join (select * from latest where k = 1) c on p.obj_id = c.obj_id and p
             *HITS,
             then=f"select {hit} from hits where rock not in (select id from rocks where m_phi = 0)",
         ),
+        "dangling_references_all": sql(
+            *HITS,
+            "born as (select r.id + 1000000000000 as id, r.m_phi, h.t from hits h join rocks r on h.rock = r.id"
+            " where r.mass > 1)",
+            then="""select 'rock' as "column", rock as id from hits join rocks on rock = id where m_phi <> 0
+union all select 'slug', slug from hits where slug % 10 = 0
+union all select 'source_rock', id from born where m_phi <> 0
+union all select 'source_hit', id from born where t >= 300""",
+        ),
+        "active_objects_cascade": sql(
+            *world(), *active(rocks="world"), then="select type, id, name, pos_r, octant, collided_s from active"
+        ),
+        "observe_octant_cascade": sql(
+            *world(), *active(rocks="world"), then=f"select {TELESCOPE} from active where octant = 1"
+        ),
+        "impacts_cascade": sql(
+            *world(), IMPACTS.replace("from rocks", "from world"), then="select * from impacts"
+        ),
+        "history_with_deletes": sql(
+            CHANGES,
+            then="""select * from (select obj_id, seq, status, amount, changed_at as valid_from,
+ lead(changed_at) over (partition by obj_id order by changed_at, seq) as valid_to from changes)
+where status <> 'P'""",
+        ),
+        "validate_launch_times": sql(
+            *timed_requests(), then="select event_id, name, fired, reject_reason from timed"
+        ),
+        "accepted_slugs": sql(
+            *timed_requests(),
+            then="""select event_id as id, name, cast(null as varchar) as target,
+ (epoch_us(coalesce(launch, ts)) - epoch_us(timestamp '2024-01-01 00:00:00')) / 1e6 as fired_s, theta,
+ cast(0.1 as double) as phi, cast(50 as double) as v from timed where reject_reason is null""",
+        ),
     }
     for rule, suffix in (("reference", ""), ("continuous", "_continuous")):
         out[f"cascade_hits{suffix}"] = sql(

@@ -76,3 +76,23 @@ def test_launch_and_look_up(spark, tmp_path):
     ids = maintain.launch(df, str(tmp_path / "slugs"))
     active = spark.read.parquet(str(tmp_path / "slugs")).withColumn("type", F.lit("slug"))
     assert {r.id for r in maintain.look_up(active, "slug", ids).collect()} == {1, 2}
+
+
+def test_versions_late_deleted_and_uncommitted(spark, tmp_path):
+    feed = tables.changes(spark, FOLDER).withColumn("gone", F.col("status") == "P")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feed.schema.fields)
+    keeper = versions.VersionKeeper(
+        spark, str(tmp_path), schema, key="obj_id", at="changed_at", seq="seq", deleted="gone"
+    )
+    part = F.pmod(F.xxhash64("seq"), F.lit(3))
+    for i in range(3):  # in no order of time
+        keeper(feed.filter(part == i), i)
+    keeper(feed.filter(part == 1), 3)  # known changes once more
+    # Written, but ended before the commit: not seen, and replaced by the next try.
+    keeper.tables.write("closed", 4, keeper.tables.read_all("closed").drop("batch").withColumn("seq", F.lit(-1).cast("long")))
+    got = keeper.history()
+    want = history.history_intervals(feed, deleted=F.col("gone")).select(*got.columns)
+    assert 0 < want.count() < feed.count()
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    keeper(feed.limit(0), 4)
+    assert keeper.history().exceptAll(want).count() == 0 and keeper.history().count() == want.count()
