@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bolide.functions.numeric import PI, halved, roman, round_away
@@ -17,6 +17,13 @@ GENERATION_STEP = 10**12
 FAMILY = ["id", "name", "mass", "target", *TRACK_FIELDS, "root_id", "root_name", "generation"]
 
 
+def fragment_id(root_id: Column, generation: Column) -> Column:
+    """A root's id and a generation as one number; fails for roots whose numbers could meet others'."""
+    fits = (root_id >= 0) & (root_id < GENERATION_STEP)
+    wrong = F.raise_error(F.concat(F.lit("rock id outside 0 .. 10^12 - 1: "), root_id.cast("string")))
+    return F.when(fits, root_id + generation * F.lit(GENERATION_STEP)).otherwise(wrong.cast("long"))
+
+
 def with_family(rocks: DataFrame) -> DataFrame:
     """Original rocks as generation 0 of their own family."""
     if "generation" in rocks.columns:
@@ -68,7 +75,7 @@ def fragments(
         b_phi = F.col("m_phi") * age + F.col("b_phi")
     born = F.col("generation") + 1
     return j.select(
-        (F.col("root_id") + born * F.lit(GENERATION_STEP)).alias("id"),
+        fragment_id(F.col("root_id"), born).alias("id"),
         F.concat(F.col("root_name"), F.lit(" "), roman(born)).alias("name"),
         halved(F.col("mass")).alias("mass"),
         F.lit(None).cast("string").alias("target"),

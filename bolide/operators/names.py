@@ -42,16 +42,21 @@ def short_name(name: Column) -> Column:
 
 
 def read_names(spark: SparkSession, path: str, header_lines: int = 13) -> DataFrame:
-    """Names after the header lines of a text file.
+    """Names after the header lines of each text file under ``path``.
 
-    A DataFrame has no line numbers, so this one step numbers the lines of
-    the file's splits in order; everything after it is columns again.
+    A split's lines are numbered one by one, so a line's place in its file's first split
+    is its number less the split's smallest. The header must lie in the first split.
     """
-    lines = spark.read.text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda p: (p[1], p[0][0]))
+    lines = spark.read.text(path).select(
+        F.col("value").alias("name"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    firsts = lines.filter("block = 0").groupBy("file").agg(F.min("place").alias("first"))
     return (
-        spark.createDataFrame(numbered, "line_no long, name string")
-        .filter(F.col("line_no") >= header_lines)
+        lines.join(firsts, "file")
+        .filter((F.col("block") > 0) | (F.col("place") - F.col("first") >= header_lines))
         .select(F.trim("name").alias("name"))
         .filter(F.length("name") > 0)
     )

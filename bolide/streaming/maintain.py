@@ -140,7 +140,7 @@ def _first_meeting(rocks: DataFrame, slugs: DataFrame) -> float | None:
 
 
 def keep_hits(changes: DataFrame, keeper: HitKeeper, checkpoint: str):
-    """Start the maintenance of a stream of change records."""
+    """A writer that maintains the hits from a stream of change records; start it."""
     return (
         changes.writeStream.foreachBatch(keeper)
         .option("checkpointLocation", checkpoint)

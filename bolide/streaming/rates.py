@@ -51,7 +51,7 @@ def _pair_up():
 
         held, made = state.get if state.exists else (None, None, None, None, 0), []
         for batch in batches:
-            seen = batch.sort_values("obs_s")[["obs_s", "pos_r", "pos_theta", "pos_phi"]]
+            seen = batch.sort_values(["obs_s", "obs_no"])[["obs_s", "pos_r", "pos_theta", "pos_phi"]]
             for row in seen.itertuples(index=False, name=None):
                 if held[0] is None:
                     held = (*row, held[4])

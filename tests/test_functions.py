@@ -118,3 +118,14 @@ def test_light_delay(spark):
     far = rock(r_0=N.LIGHT_SPEED * 10, m_theta=0.1)
     now, seen = P.track_pos(far, F.lit(30.0)), P.track_pos(far, F.lit(30.0), delay=True)
     assert one(spark, now.theta, seen.theta) == pytest.approx([3.0, 2.0])
+
+
+def test_fragment_ids_of_large_roots_fail(spark):
+    import pytest
+    from bolide.operators.fragments import fragment_id
+    from pyspark.sql import functions as F
+
+    ids = lambda n: spark.range(n, n + 1).select(fragment_id(F.col("id"), F.lit(1)).alias("i"))
+    assert ids(7).first().i == 10**12 + 7
+    with pytest.raises(Exception, match="outside"):
+        ids(10**12).collect()

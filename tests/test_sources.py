@@ -101,3 +101,10 @@ def test_sample_fit_recover(spark):
     both = rocks.alias("r").join(fits.alias("f"), "name")
     off = sum((F.abs(F.col(f"r.{c}") - F.col(f"f.{c}")) for c in ("v", "r_0", "m_theta", "b_phi")), F.lit(0.0))
     assert both.filter(off > 1e-6).count() == 0 and both.filter("consistent").count() == 10
+
+
+def test_headers_of_several_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("".join(f"head {k}\n" for k in range(3)) + f"name {i}\n\nlast {i}\n")
+    got = {r.name for r in names.read_names(spark, str(tmp_path), 3).collect()}
+    assert got == {f"{word} {i}" for word in ("name", "last") for i in range(3)}
