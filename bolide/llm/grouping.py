@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bolide.llm.components import contract
@@ -36,12 +36,15 @@ def linked_groups(
     verify: Callable[[DataFrame], DataFrame],
     bound: Callable[[DataFrame], DataFrame] | None = None,
     least: float = 0.0,
+    possible: Column | None = None,
 ) -> DataFrame:
     """(node, label) of every id in a bucket of two or more: equal labels are one group.
 
     ``verify`` takes pairs (a, b) and returns those that are links. ``bound`` takes the ids (id) still to
     be compared and gives their ``total`` weight and the weight ``shared`` with any other of
     them; a pair's similarity, weight in both by weight in either, must reach ``least``.
+    ``possible`` is a cheap necessary condition of a link over further columns of ``members``; those of the
+    pair's other member have the suffix ``_b``.
     """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sized = settle(members.join(sizes, "key"), "sized")
@@ -56,13 +59,13 @@ def linked_groups(
     # ... then the pivots of its other buckets that are still in another group.
     apart = _labelled(_labelled(live, labels), labels, "pivot", "of_pivot").filter("label <> of_pivot")
     labels = _merged(labels, apart.select(F.col("id").alias("a"), F.col("pivot").alias("b")), verify)
-    live = _still_apart(live.select("key", "id", "n", "share"), labels)
-    possible = F.lit(True)
+    live = _still_apart(live.drop("mates", "pivot"), labels)
+    possible = F.lit(True) if possible is None else possible
     if bound is not None and not live.isEmpty():
         weights = bound(live.select("id").distinct())
         live = live.join(weights.filter(F.col("shared") >= least * F.col("total")), "id").drop("label")
         both = F.least("shared", "shared_b")
-        possible = both >= least * (F.col("total") + F.col("total_b") - both)
+        possible = possible & (both >= least * (F.col("total") + F.col("total_b") - both))
     else:
         live = live.drop("label")
     # A pair is formed once, in the first bucket that both are in.
