@@ -96,6 +96,25 @@ def test_lines_match_all_pairs(spark):
         assert (left[doc] or "") == "\n".join(stay)
 
 
+def test_edit_similarity_is_exact(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(1), [("", "a"), ("é", "é é"), ("a b", "a b")]
+    for _ in range(1500):
+        a = [rng.choice(["a", "bb", "ccc", "dé"]) for _ in range(rng.randint(1, 9))]
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice([[], ["bb"], ["xx"]])
+        rows.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    plain = F.levenshtein("a", "b") <= F.floor(F.greatest(F.length("a"), F.length("b")) * 0.2 + 1e-9)
+    assert df.filter(~line_dedup.similar(F.col("a"), F.col("b")).eqNullSafe(plain)).count() == 0
+    assert df.filter(plain & (F.col("a") != F.col("b"))).count() > 100
+
+
 def _norms(spark, df):
     from pyspark.sql import functions as F
 
