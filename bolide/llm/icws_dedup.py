@@ -5,9 +5,9 @@
   frequencies, in whole sixteenths. Document frequencies are counted over all
   documents (``exchange``). Words carry the idf so that a copy's shared shingles weigh
   no less than its changed ones merely because it has copies.
-* Shingles fall by hash into ``BANDS * ROWS`` bins; each bin draws one consistent weighted
-  sample of its shingles (Ioffe's r, c, beta per shingle). A document with empty bins borrows from
-  bins chosen by hash, so all sizes go the same way.
+* Each of ``BANDS * ROWS`` consistent weighted samples is drawn over all shingles of the document (Ioffe's
+  r, c, beta per shingle and sample), so two documents agree in a sample with the probability of their
+  weighted Jaccard similarity, however uneven the weights.
 * ``ROWS`` samples make a band; documents that share a band are compared, through
   ``grouping``, by exact weighted Jaccard similarity, and those at or above the
   threshold are one group. Equal texts are one node from the start.
@@ -36,10 +36,11 @@ from bolide.plans.settle import settle
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-BINS = BANDS * ROWS
+SAMPLES = BANDS * ROWS
 GRAIN = 16
-
-
+# Shingles sampled at a time, so that the arrays of a sample stay in the processor's cache.
+RUN = 1 << 14
+SEEDS = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 def _distinct_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the words, sorted, and in how many documents of the chunk each is."""
@@ -97,44 +98,49 @@ def shingles(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], h[first], np.add.reduceat(w, first) if len(first) else w
 
 
-def _uniform(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers in (0, 1) from a 64-bit word."""
-    scale = 1.0 / (1 << 32)
-    return (
-        ((bits >> np.uint64(32)).astype(np.float64) + 0.5) * scale,
-        ((bits & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) * scale,
-    )
+def _uniform(bits: np.ndarray, shift: int) -> np.ndarray:
+    """A number in (0, 1) from 24 bits of 64-bit words."""
+    part = ((bits >> np.uint64(shift)) & np.uint64(0xFFFFFF)).astype(np.float32)
+    return (part + np.float32(0.5)) * np.float32(1 / (1 << 24))
+
+
+def _draw(h: np.ndarray, log_weight: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ioffe's log a and t of each shingle in one sample."""
+    x = (h ^ np.uint64(SEEDS[sample])) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    y = x ^ (x >> np.uint64(30))
+    y *= np.uint64(0x9E3779B97F4A7C15)
+    y ^= y >> np.uint64(32)
+    x ^= x >> np.uint64(33)
+    r = -np.log(_uniform(x, 0) * _uniform(x, 24))
+    c = -np.log(_uniform(y, 0) * _uniform(y, 24))
+    beta = ((x >> np.uint64(48)).astype(np.float32) + np.float32(0.5)) * np.float32(1 / (1 << 16))
+    t = np.floor(log_weight / r + beta)
+    return np.log(c) - r * (t - beta + np.float32(1)), t
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
-    """One sample per document and bin (documents x BINS); zeros where a document has no shingle."""
-    u1, u2 = _uniform(mixed(h + np.uint64(0x51)))
-    u3, u4 = _uniform(mixed(h + np.uint64(0x52)))
-    beta, _ = _uniform(mixed(h + np.uint64(0x53)))
-    r, log_c = -np.log(u1 * u2), np.log(-np.log(u3 * u4))
-    t = np.floor(np.log(weight) / r + beta)
-    log_a = log_c - r * (t - beta) - r
-    slot = doc * BINS + (mixed(h + np.uint64(0x54)) % np.uint64(BINS)).astype(np.int64)
-    least = np.full(n_docs * BINS, np.inf)
-    np.minimum.at(least, slot, log_a)
-    best = np.flatnonzero(log_a == least[slot])
-    out = np.zeros(n_docs * BINS, np.uint64)
-    out[slot[best]] = mixed(h[best] + mixed(t[best].astype(np.int64).astype(np.uint64))) | np.uint64(1)
-    out = out.reshape(n_docs, BINS)
-    filled = out != 0
-    some = filled.any(axis=1)
-    # Empty bins borrow: bins tried in an order hashed from the bin, the same for all documents.
-    d, b = np.nonzero(~filled & some[:, None])
-    attempt = 0
-    while len(d):
-        attempt += 1
-        if attempt <= 64:
-            ask = (mixed((b * 1009 + attempt).astype(np.uint64)) % np.uint64(BINS)).astype(np.int64)
-        else:
-            ask = (b + attempt) % BINS
-        got = filled[d, ask]
-        out[d[got], b[got]] = out[d[got], ask[got]]
-        d, b = d[~got], b[~got]
+    """``SAMPLES`` samples of each document, each over all of its shingles; zeros without shingles.
+
+    ``doc`` is sorted. Documents are taken in runs of about ``RUN`` shingles.
+    """
+    out = np.zeros((n_docs, SAMPLES), np.uint64)
+    log_weight = np.log(weight).astype(np.float32)
+    found, first = np.unique(doc, return_index=True)
+    ends = np.append(first[1:], len(doc))
+    a = 0
+    while a < len(found):
+        b = max(a + 1, int(np.searchsorted(ends, first[a] + RUN, "right")))
+        lo, hi = first[a], ends[b - 1]
+        some, weights, n = h[lo:hi], log_weight[lo:hi], ends[a:b] - first[a:b]
+        for sample in range(SAMPLES):
+            log_a, t = _draw(some, weights, sample)
+            best = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, first[a:b] - lo), n))
+            # Of equal ones the first, which has the smallest hash.
+            best = best[np.searchsorted(best, first[a:b] - lo)]
+            out[found[a:b], sample] = mixed(some[best] + mixed(t[best].astype(np.int64).astype(np.uint64))) | np.uint64(1)
+        a = b
     return out
 
 

@@ -139,3 +139,19 @@ def test_blocks_find_every_pair_in_reach(spark, lines):
     df = spark.createDataFrame(rows, "x long, y long")
     both = [line_dedup.block_keys(F.col(c), m) for c in ("x", "y")]
     assert df.filter(~F.arrays_overlap(*both)).count() == 0
+
+
+def test_repeated_passages_match_all_pairs(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for times, length in [(40, 20), (25, 40), (200, 8)] * 5:
+        passage = [word() for _ in range(length)] * times
+        rows += [" ".join(passage + [word() for _ in range(60)]) for _ in range(2)]
+    rows = list(enumerate(rows))
+    want = classes(rows)
+    assert len(set(want.values())) == 15
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {r["doc_id"]: r["class_id"] for r in icws_dedup.near_duplicates(docs).collect()} == want
