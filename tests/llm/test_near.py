@@ -155,3 +155,10 @@ def test_repeated_passages_match_all_pairs(spark):
     assert len(set(want.values())) == 15
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert {r["doc_id"]: r["class_id"] for r in icws_dedup.near_duplicates(docs).collect()} == want
+
+
+def test_very_long_lines_are_matched(spark):
+    words = [f"w{i}" for i in range(1 << 15)]
+    near = words[:-1] + ["changed"]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::2]))], SCHEMA)
+    assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.report(df).collect()} == {1: "", 2: "0", 3: ""}
