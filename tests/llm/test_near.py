@@ -162,3 +162,26 @@ def test_very_long_lines_are_matched(spark):
     near = words[:-1] + ["changed"]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::2]))], SCHEMA)
     assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.report(df).collect()} == {1: "", 2: "0", 3: ""}
+
+
+def test_lines_of_like_spelling_are_found(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    pairs = []
+    for length, changed in [(8, 1), (15, 1), (30, 1), (30, 3), (60, 6)] * 30:
+        a = [word() for _ in range(length)]
+        b = list(a)
+        for at in rng.sample(range(length), changed):
+            b[at] = word()
+        pairs.append((" ".join(a), " ".join(b)))
+    pairs += [("http://" + x + "/1", "http://" + x + "/2") for x in ("".join(word() for _ in range(8)) for _ in range(30))]
+    like = [
+        2 * n + 1 for n, (a, b) in enumerate(pairs) if edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+    ]
+    assert len(like) > 150
+    df = spark.createDataFrame([x for n, (a, b) in enumerate(pairs) for x in ((2 * n, a), (2 * n + 1, b))], SCHEMA)
+    found = {r["doc_id"] for r in line_dedup.report(df).filter("n_kept = 0").collect()}
+    assert found <= set(like)
+    assert len(found) >= 0.97 * len(like), (len(found), len(like))
