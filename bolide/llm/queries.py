@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bolide.llm import (
+    divergence,
     exact_dedup,
+    host_rules,
     huffman_ids,
     icws_dedup,
     line_dedup,
@@ -17,10 +19,14 @@ from bolide.llm import (
     phrase_index,
     quality_mil,
     shard_tree,
+    token_alignment,
     toxicity_fst,
 )
+from bolide.llm.oracles import ORACLES
 from bolide.llm.shared import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 END_ID = 2
 SHARDS = 16
 
@@ -81,6 +87,24 @@ def op10_toxicity_fst(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_fst.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return host_rules.report(table(spark, folder, "documents"))
+
+
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.report(
+        table(spark, folder, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,52 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_icws_dedup,
         op9_exact_dedup,
         op10_toxicity_fst,
+        op11_host_rules,
+        op12_divergence,
+        op13_token_alignment,
     )
 }
-
-ORACLES = {
-    "op9_exact_dedup": r"""
-        WITH keyed AS (
-            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
-            FROM documents
-        )
-        SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id,
-               count(*) OVER (PARTITION BY h) AS group_size,
-               doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
-        FROM keyed
-    """,
-    "op4_phrase_index": r"""
-        WITH doc AS (
-            SELECT doc_id, row_number() OVER () AS r,
-                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-            FROM documents
-        ), item AS (
-            SELECT CAST(item_id AS VARCHAR) AS item_id,
-                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-            FROM benchmark
-        ), win AS (
-            SELECT DISTINCT item_id, least(len(w), 10) AS width,
-                   array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS phrase
-            FROM item, unnest(range(1, greatest(len(w) - 10 + 1, 1) + 1)) AS u(i)
-            WHERE len(w) > 0
-        ), place AS (
-            SELECT r, i, width, array_to_string(w[i : i + width - 1], ' ') AS phrase
-            FROM doc, (SELECT DISTINCT width FROM win) AS widths, unnest(range(1, len(w) - width + 2)) AS u(i)
-        ), hit AS (
-            SELECT r, i, place.width AS width, item_id FROM place JOIN win
-            ON place.phrase = win.phrase AND place.width = win.width
-        ), words AS (
-            SELECT r, count(DISTINCT p) AS n_hit
-            FROM hit, unnest(range(i, i + width)) AS u(p) GROUP BY r
-        ), items AS (
-            SELECT r, count(DISTINCT item_id) AS n_items,
-                   string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS names
-            FROM hit GROUP BY r
-        )
-        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
-    """,
-}
