@@ -10,10 +10,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Where the tables settled now are noted down, by the innermost ``noted`` block.
+_NOTES: ContextVar[list[str] | None] = ContextVar("settled", default=None)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -42,4 +47,42 @@ def settle(df: DataFrame, label: str = "round") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/bolide/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    notes = _NOTES.get()
+    if notes is not None:
+        notes.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that are settled inside the block."""
+    notes: list[str] = []
+    token = _NOTES.set(notes)
+    try:
+        yield notes
+    finally:
+        _NOTES.reset(token)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def apart(label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Settle what ``build`` returns, then delete the tables that it settled on its way.
+
+    For operators with a small result: their intermediate tables go as soon as it is written.
+    """
+    with noted() as own:
+        made = build()
+        spark = made.sparkSession
+        result = settle(made, label)
+        kept = own.pop()
+    release(spark, own)
+    notes = _NOTES.get()
+    if notes is not None:
+        notes.append(kept)
+    return result
