@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bolide.llm.shared import pieces, span_hashes, text_bytes
+from bolide.llm.shared import pieces, text_bytes
 from bolide.plans.settle import checkpoint_root, settle
 
 MAX_BITS = 16
@@ -40,7 +40,7 @@ STRIDE = 256
 # Text of a block's documents, in bytes.
 BLOCK_BYTES = 2 << 20
 # Spellings a worker process remembers.
-REMEMBERED = 3_000_000
+REMEMBERED = 700_000
 # New words that go to the tokenizer at a time.
 NEW_WORDS = 20_000
 
@@ -76,7 +76,7 @@ class Encoder:
 
     A byte-level BPE splits a text before each single space between visible characters, so
     the ids of a text are those of its space-led words in a row. Only words not met before
-    go to the tokenizer; they are known by a 64-bit hash. Texts with other white space
+    go to the tokenizer; they are known by their text. Texts with other white space
     around a space are encoded whole.
     """
 
@@ -90,7 +90,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known: dict[str, int] = {}
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
@@ -114,36 +114,22 @@ class Encoder:
             out[i] = np.array(ids, np.uint32)
         return out
 
-    def _has(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return self.known[at] == hashes
-
-    def _learn(
-        self, distinct: np.ndarray, at: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray
-    ) -> None:
-        """Encode the words among ``distinct`` hashes that are new; word ``at[i]`` is one of hash i."""
-        fresh = ~self._has(distinct)
-        if len(self.known) + fresh.sum() > REMEMBERED:
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The place of each of the distinct ``words`` among the known ones; new ones are encoded."""
+        fresh = [w for w in words if w not in self.known]
+        if len(self.known) + len(fresh) > REMEMBERED:
             self._forget()
-            fresh[:] = True
-        distinct, at = distinct[fresh], at[fresh]
-        if not len(distinct):
-            return
-        data, parts, counts = raw.tobytes(), [self.pool], []
-        for i in range(0, len(at), NEW_WORDS):
-            some = at[i : i + NEW_WORDS]
-            got = self._of_words([data[a:b].decode() for a, b in zip(start[some], end[some])])
-            counts += [len(g) for g in got]
+            fresh = words
+        parts, counts = [self.pool], [self.count]
+        for i in range(0, len(fresh), NEW_WORDS):
+            got = self._of_words(fresh[i : i + NEW_WORDS])
+            counts.append(np.array([len(g) for g in got], np.int64))
             parts.append(np.concatenate(got))
-        count = np.array(counts, np.int64)
-        first = len(self.pool) + np.cumsum(count) - count
-        self.pool = np.concatenate(parts)
-        order = np.argsort(np.concatenate([self.known, distinct]), kind="stable")
-        self.known = np.concatenate([self.known, distinct])[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        if fresh:
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            self.pool, self.count = np.concatenate(parts), np.concatenate(counts)
+            self.first = np.cumsum(self.count) - self.count
+        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -154,16 +140,17 @@ class Encoder:
         filled = offsets[:-1][np.diff(offsets) > 0]
         begins[filled] = True
         start = np.flatnonzero(begins)
-        end = np.append(start[1:], len(raw))
         doc = np.searchsorted(offsets, start, "right") - 1
-        plain = ~whole[doc]
-        start, end, doc = start[plain], end[plain], doc[plain]
-        hashes = span_hashes(raw, start, end, [None])[0]
-        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        self._learn(distinct, one, raw, start, end)
-        at = np.searchsorted(self.known, distinct)[which]
-        count = self.count[at]
-        place = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        at = np.append(start, len(raw)).astype(np.int64)
+        spelled = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+        if whole.any():
+            plain = ~whole[doc]
+            spelled, doc = spelled.filter(pa.array(plain)), doc[plain]
+        words = spelled.dictionary_encode()
+        number = self._numbers(words.dictionary.to_pylist())
+        word = number[words.indices.to_numpy(zero_copy_only=False)] if len(doc) else number
+        count = self.count[word]
+        place = np.repeat(self.first[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         numbers, lengths = self.pool[place], np.bincount(doc, count, n).astype(np.int64)
         if not whole.any():
             return numbers, lengths

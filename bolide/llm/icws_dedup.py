@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from bolide.llm.exchange import OUT, buckets_for, chunked, key48, packed, tally, texts, totals_of
 from bolide.llm.grouping import linked_groups
 from bolide.llm.shared import Words, mixed, numbered, pieces
-from bolide.plans.settle import settle
+from bolide.plans.settle import apart, settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -98,26 +98,34 @@ def shingles(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], h[first], np.add.reduceat(w, first) if len(first) else w
 
 
-def _uniform(bits: np.ndarray, shift: int) -> np.ndarray:
-    """A number in (0, 1) from 24 bits of 64-bit words."""
-    part = ((bits >> np.uint64(shift)) & np.uint64(0xFFFFFF)).astype(np.float32)
-    return (part + np.float32(0.5)) * np.float32(1 / (1 << 24))
+def _gamma_quantiles(bits: int) -> np.ndarray:
+    """The middle of each of 2^bits equal shares of Gamma(2, 1): where 1 - (1 + x) e^-x takes their middle values."""
+    p = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    x = np.sqrt(2 * p) + p  # near the answer for small shares; the steps below end for all
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - p) / (x * np.exp(-x) + 1e-300), x / 4)
+    return x
+
+
+_GAMMA = _gamma_quantiles(16)
+_R, _LOG_C = _GAMMA.astype(np.float32), np.log(_GAMMA).astype(np.float32)
 
 
 def _draw(h: np.ndarray, log_weight: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ioffe's log a and t of each shingle in one sample."""
+    """Ioffe's log a and t of each shingle in one sample; r and c are looked up by 16 bits each."""
     x = (h ^ np.uint64(SEEDS[sample])) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
-    y = x ^ (x >> np.uint64(30))
-    y *= np.uint64(0x9E3779B97F4A7C15)
-    y ^= y >> np.uint64(32)
     x ^= x >> np.uint64(33)
-    r = -np.log(_uniform(x, 0) * _uniform(x, 24))
-    c = -np.log(_uniform(y, 0) * _uniform(y, 24))
-    beta = ((x >> np.uint64(48)).astype(np.float32) + np.float32(0.5)) * np.float32(1 / (1 << 16))
+    parts = x.view(np.uint16).reshape(-1, 4)
+    r = _R.take(parts[:, 1].astype(np.intp))
+    beta = (parts[:, 3].astype(np.float32) + np.float32(0.5)) * np.float32(1 / (1 << 16))
     t = np.floor(log_weight / r + beta)
-    return np.log(c) - r * (t - beta + np.float32(1)), t
+    beta -= t
+    beta -= np.float32(1)
+    beta *= r
+    beta += _LOG_C.take(parts[:, 2].astype(np.intp))
+    return beta, t
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
@@ -161,21 +169,38 @@ def _weights_of(words: Words, totals: np.ndarray, documents: int) -> np.ndarray:
     return word_weights(totals[:, 0], documents)[np.searchsorted(known, keys)]
 
 
-def _bands(chunks: DataFrame, frequencies: DataFrame, documents: int, buckets: int) -> DataFrame:
-    """(key, id) of every row with words: its bands."""
+def _with_asked(frequencies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The chunks' totals, and in a row of its own the ids that are ``wanted`` (chunk, id) of each chunk."""
+    # No more ids than the chunk has documents.
+    asked = wanted.groupBy("chunk").agg(F.collect_list("id").alias("wanted"))
+    right = frequencies.select("chunk", "bucket", "totals", F.lit(None).cast("array<bigint>").alias("wanted"))
+    return right.unionByName(asked, allowMissingColumns=True)
 
-    def sign(chunk: pa.Table, back: pa.Table) -> pa.Table:
+
+def _asked_of(right: pa.Table) -> np.ndarray:
+    return np.array([i for w in right["wanted"].to_pylist() if w is not None for i in w], np.int64)
+
+
+def _bands(
+    chunks: DataFrame, frequencies: DataFrame, wanted: DataFrame, documents: int, buckets: int
+) -> DataFrame:
+    """(key, id) of the ``wanted`` rows (chunk, id) with words: their bands."""
+
+    def sign(chunk: pa.Table, right: pa.Table) -> pa.Table:
+        asked = _asked_of(right)
+        if not len(asked) or not chunk.num_rows:
+            return pa.table({"key": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})
         words = Words(texts(chunk["sizes"][0].as_py(), chunk["text"][0].as_py()))
-        totals = totals_of(back, 1, 0, buckets)
+        totals = totals_of(right, 1, 0, buckets)
         doc, h, w = shingles(words, _weights_of(words, totals, documents))
-        some = np.flatnonzero(words.per_doc > 0)
-        keys = band_keys(signatures(doc, h, w, len(words.per_doc))[some])
-        rows = np.array([r["_row"] for r in chunk["docs"][0].as_py()], np.int64)[some]
-        return pa.table({"key": keys.reshape(-1).view(np.int64), "id": np.repeat(rows, BANDS)})
+        rows = np.array([r["_row"] for r in chunk["docs"][0].as_py()], np.int64)
+        chosen = np.isin(rows, asked) & (words.per_doc > 0)
+        mine, some = chosen[doc], np.flatnonzero(chosen)
+        keys = band_keys(signatures(doc[mine], h[mine], w[mine], len(rows))[some])
+        return pa.table({"key": keys.reshape(-1).view(np.int64), "id": np.repeat(rows[some], BANDS)})
 
     left = chunks.select("chunk", "docs", "sizes", "text").groupBy("chunk")
-    right = frequencies.select("chunk", "bucket", "totals").groupBy("chunk")
-    return left.cogroup(right).applyInArrow(sign, "key long, id long")
+    return left.cogroup(_with_asked(frequencies, wanted).groupBy("chunk")).applyInArrow(sign, "key long, id long")
 
 
 def _vectors(
@@ -184,15 +209,15 @@ def _vectors(
     """Write the shingles and weights of the ``wanted`` rows (chunk, id)."""
 
     def describe(chunk: pa.Table, right: pa.Table) -> pa.Table:
-        asked = [w for w in right["wanted"].to_pylist() if w is not None]
+        asked = _asked_of(right)
         rows = [r["_row"] for r in chunk["docs"][0].as_py()] if chunk.num_rows else []
         ids, blobs = [], []
-        if asked and rows:
+        if len(asked) and rows:
             words = Words(texts(chunk["sizes"][0].as_py(), chunk["text"][0].as_py()))
             totals = totals_of(right, 1, 0, buckets)
             doc, h, w = shingles(words, _weights_of(words, totals, documents))
             ends = np.searchsorted(doc, np.arange(len(rows) + 1))
-            want = set(asked[0])
+            want = set(asked.tolist())
             for i, row in enumerate(rows):
                 if row in want:
                     a, b = ends[i], ends[i + 1]
@@ -200,10 +225,7 @@ def _vectors(
                     blobs.append(vector(h[a:b], w[a:b]))
         return pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.array(blobs, pa.binary())})
 
-    # No more ids than the chunk has documents.
-    asked = wanted.groupBy("chunk").agg(F.collect_list("id").alias("wanted"))
-    right = frequencies.select("chunk", "bucket", "totals", F.lit(None).cast("array<bigint>").alias("wanted"))
-    right = right.unionByName(asked, allowMissingColumns=True).groupBy("chunk")
+    right = _with_asked(frequencies, wanted).groupBy("chunk")
     left = chunks.select("chunk", "docs", "sizes", "text").groupBy("chunk")
     return settle(left.cogroup(right).applyInArrow(describe, "id long, vector binary"), "vectors")
 
@@ -290,10 +312,14 @@ def shared_weights(ids: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``_row``, doc_id and the class's first doc_id.
+    """One written row per row of ``docs`` (doc_id, text and others): ``_row``, the others and ``head``.
 
-    ``first`` is a struct of the row that stands for the class (null doc_ids last).
+    ``head`` is a struct of the row that stands for the class (null doc_ids last).
     """
+    return apart("near", lambda: _near_classes(docs, least))
+
+
+def _near_classes(docs: DataFrame, least: float) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     chunks = chunked(docs.select("doc_id", *others, text.alias("text"), F.sha2(text, 256).alias("digest")))
@@ -301,13 +327,11 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     documents, n_chunks = rows.count(), chunks.count()
     buckets = buckets_for(n_chunks)
     frequencies = word_frequencies(chunks, buckets)
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row", "chunk")
     # Equal texts: the first row stands for all.
     nodes = settle(rows.groupBy("digest").agg(F.min(place).alias("first")), "nodes")
-    stands = nodes.select(F.col("first._row").alias("id"))
-    bands = settle(
-        _bands(chunks, frequencies, documents, buckets).join(stands, "id", "left_semi"), "bands"
-    )
+    stands = nodes.select("first.chunk", F.col("first._row").alias("id"))
+    bands = settle(_bands(chunks, frequencies, stands, documents, buckets), "bands")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = settle(bands.join(shared, "key", "left_semi"), "shared")
     wanted = members.select("id").distinct().join(rows.select(F.col("_row").alias("id"), "chunk"), "id")

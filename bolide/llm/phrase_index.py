@@ -2,10 +2,11 @@
 
 The index is partitioned by documents: a row holds, for a run of documents, the
 postings (document, position) of each term, sorted. Positions of a run are
-numbers ``document * 2^32 + position``, so a posting list is one sorted array. Terms
-that no test item has are left out, as no list of theirs is ever read.
+numbers ``document * 2^32 + MARGIN + position``, so a posting list is one sorted array. Terms
+are told apart by their letters; those that no test item has are left out, as no list of theirs
+is ever read.
 
-A query is a window of test words. Its terms are taken from the rarest to the
+A query is a window of test words, looked up only where its rarest term occurs. Its terms are taken from the rarest to the
 most frequent (counts over all documents): the rarest list, shifted by the term's
 offset, gives the places where the window may start, and each further list keeps those
 that it has too. With ``slop`` a term may be up to so many words away from its
@@ -24,19 +25,23 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bolide.llm.shared import Words, numbered
-from bolide.plans.settle import settle
+from bolide.plans.settle import apart, settle
 
 WINDOW = 10
 SLOP = 2
 BLOCK_WORDS = 1_000_000
+# A window that begins before its document does still has a number of that document.
+MARGIN = 1 << 24
 
 INDEX = (
     "rows array<bigint>, doc_ids array<bigint>, n_words array<int>, "
@@ -52,7 +57,7 @@ FOUND = (
 class Queries:
     """One block of windows: term numbers, and per window its item, terms and offsets."""
 
-    vocabulary: np.ndarray  # sorted word hashes
+    vocabulary: pa.Array  # the words
     items: list[str]
     windows: list[tuple[int, np.ndarray]]  # item number, term number at each offset
 
@@ -67,8 +72,8 @@ def windows_of(benchmark: DataFrame, width: int = WINDOW) -> list[Queries]:
         of = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = of.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct().collect()
         spoken = Words(pa.array([r["text"] for r in rows], pa.string()))
-        hashes, bounds = spoken.hashes(), spoken.bounds
-        vocabulary, numbers = np.unique(hashes, return_inverse=True)
+        coded, bounds = spoken.spelled().dictionary_encode(), spoken.bounds
+        vocabulary, numbers = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         windows = []
         for i in range(len(rows)):
             own = numbers[bounds[i] : bounds[i + 1]]
@@ -78,7 +83,7 @@ def windows_of(benchmark: DataFrame, width: int = WINDOW) -> list[Queries]:
     return out
 
 
-def build_index(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+def build_index(rows: DataFrame, vocabulary: pa.Array) -> DataFrame:
     """Write the postings of the ``vocabulary`` in ``rows`` (_row, doc_id, text)."""
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -86,11 +91,9 @@ def build_index(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         known = sent.value
         for batch in batches:
             words = Words(batch["text"])
-            hashes = words.hashes()
-            term = np.searchsorted(known, hashes)
-            term[term == len(known)] = 0
-            of_test = known[term] == hashes if len(known) else np.zeros(len(hashes), bool)
-            place = np.arange(len(words)) - np.repeat(words.bounds[:-1], words.per_doc)
+            term = pc.index_in(words.spelled(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            of_test = term >= 0
+            place = np.arange(len(words)) - np.repeat(words.bounds[:-1], words.per_doc) + MARGIN
             posting = (words.doc()[of_test] << 32) | place[of_test]
             term = term[of_test]
             order = np.argsort(term, kind="stable")  # documents and positions are in order already
@@ -129,8 +132,8 @@ def intersect(lists: dict[int, np.ndarray], terms: np.ndarray, order: np.ndarray
     if anchor is None:
         return None
     start = anchor - order[0]
-    start = start[(start >> 32) == (anchor >> 32)] if order[0] else start
-    exact = np.ones(len(start), bool)
+    start = start[(start & 0xFFFFFFFF) >= MARGIN - slop]
+    exact = (start & 0xFFFFFFFF) >= MARGIN
     for off in offsets[1:]:
         listed = lists.get(int(terms[off]))
         if listed is None or not len(start):
@@ -152,10 +155,10 @@ def search(index: DataFrame, queries: Queries, counts: np.ndarray, slop: int = S
     shared: dict[tuple, list[int]] = {}
     for item, terms in queries.windows:
         shared.setdefault(tuple(terms.tolist()), []).append(item)
-    plan = [
-        (np.array(t, np.int64), np.argsort(counts[list(t)], kind="stable"), sorted(set(of)))
-        for t, of in shared.items()
-    ]
+    plan: dict[int, list[tuple]] = {}
+    for t, of in shared.items():
+        order = np.argsort(counts[list(t)], kind="stable")
+        plan.setdefault(t[order[0]], []).append((np.array(t, np.int64), order, sorted(set(of))))
     sent = index.sparkSession.sparkContext.broadcast((plan, queries.items))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +178,7 @@ def _searched(batch, i: int, plan, names: list[str], slop: int) -> pa.RecordBatc
     items: list[set[str]] = [set() for _ in rows]
     near: list[set[str]] = [set() for _ in rows]
     spans: list[list[tuple[int, int]]] = [[] for _ in rows]
-    for window, order, of in plan:
+    for window, order, of in chain.from_iterable(plan[t] for t in terms if t in plan):
         found = intersect(lists, window, order, slop)
         if found is None:
             continue
@@ -183,7 +186,7 @@ def _searched(batch, i: int, plan, names: list[str], slop: int) -> pa.RecordBatc
         for d in np.unique(start >> 32):
             near[d].update(names[k] for k in of)
         for s in start[exact]:
-            d, first = int(s) >> 32, int(s) & 0xFFFFFFFF
+            d, first = int(s) >> 32, (int(s) & 0xFFFFFFFF) - MARGIN
             items[d].update(names[k] for k in of)
             spans[d].append((first, first + len(window)))
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -265,5 +268,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     """The rows of ``docs`` (all columns) in which no test window occurs."""
     rows = numbered(docs, "decontaminate")
     named = rows.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
-    bad = matches(named, benchmark, width, 0).filter(F.size("spans") > 0).select("_row")
+    bad = apart("found", lambda: matches(named, benchmark, width, 0).filter(F.size("spans") > 0).select("_row"))
     return rows.join(bad, "_row", "left_anti").select("_doc.*")

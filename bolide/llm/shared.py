@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bolide.plans.settle import settle
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-# Bytes hashed at a time: bounds the arrays of powers and prefix sums.
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+# Bytes hashed at a time: bounds the arrays of positions and sums.
 SLICE = 1 << 20
 
 
@@ -125,6 +125,16 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.per_doc)), self.per_doc)
 
+    def spelled(self) -> pa.Array:
+        """The words themselves, lower-cased."""
+        inside = self.low > 0
+        letters = self.low[inside]
+        before = np.cumsum(inside) - inside
+        at = np.append(before[self.start], len(letters)).astype(np.int64)
+        return pa.Array.from_buffers(
+            pa.large_binary(), len(self), [None, pa.py_buffer(at), pa.py_buffer(letters)]
+        )
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         return self.hashed([None])[0]
@@ -138,23 +148,25 @@ def span_hashes(
 ) -> list[np.ndarray]:
     """Per entry of ``prefixes`` a hash of each span's first so many bytes (0 if it is shorter), None: of all.
 
-    Spans are in order and don't overlap; they are taken in runs of about ``SLICE`` bytes.
+    Spans are in order and don't overlap; they are taken in runs of about ``SLICE`` bytes. Each byte gives
+    a random-looking number for itself and its place in the span; a hash is their sum and the length,
+    scrambled. So neither a zero byte nor a regular change of bytes goes unseen.
     """
     out = [np.empty(len(start), np.uint64) for _ in prefixes]
     a = 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(end, start[a] + SLICE, "right")))
-        lo, hi = start[a], end[b - 1]
-        powers = np.cumprod(np.full(hi - lo + 1, _BASE))
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(data[lo:hi] * powers[:-1], out=sums[1:])
-        s, e = start[a:b] - lo, end[a:b] - lo
-        back, before = np.cumprod(np.full(hi - lo + 1, _INVERSE))[s] * _BASE, sums[s]
+        s, size = start[a:b], end[a:b] - start[a:b]
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        of_byte = data[np.repeat(s, size) + place].astype(np.uint64)
+        sums = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum(mixed((place.astype(np.uint64) << np.uint64(8) | of_byte) + np.uint64(1)), out=sums[1:])
         for k, prefix in enumerate(prefixes):
-            stop = e if prefix is None else np.minimum(e, s + prefix)
-            part = mixed((sums[stop] - before) * back)
+            n = size if prefix is None else np.minimum(size, prefix)
+            part = mixed(sums[first + n] - sums[first] + n.astype(np.uint64) * _LENGTH)
             if prefix is not None:
-                part[e - s < prefix] = 0
+                part[size < prefix] = 0
             out[k][a:b] = part
         a = b
     return out
@@ -171,22 +183,24 @@ def labelled_sample(
     """Texts to learn from: ``text``, ``label``, ``turn`` (their order by hash).
 
     At most ``rows`` documents with a known label that are not held out, in the order of a
-    hash of their id, and of these as many as have ``size`` bytes together. Where an id is
-    labelled twice the larger label counts.
+    hash of their id; a text that would take the sample over ``size`` bytes is passed over. Where an id is
+    labelled twice the larger label counts, and of several texts of one id the first in order.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     turn = F.xxhash64("doc_id", F.lit(label))
     chosen = F.broadcast(known.withColumn("turn", turn).orderBy("turn", "doc_id").limit(rows))
-    found = docs.select("doc_id", "text").join(chosen, "doc_id")
-    sizes = found.select("turn", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
-    total, last = 0, None
-    for r in sizes.orderBy("turn").limit(2 * rows).collect():  # two numbers a row
-        total += r["n"]
-        if total > size and last is not None:
-            break
-        last = r["turn"]
-    if last is None:
-        return found.select("text", "label", "turn").limit(0)
-    return found.filter(F.col("turn") <= last).select("text", "label", "turn")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    found = found.groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("label").alias("label"), F.first("turn").alias("turn")
+    )
+    sizes = found.select("doc_id", "turn", F.octet_length("text").alias("n"))
+    total, taken = 0, []
+    for r in sizes.orderBy("turn", "doc_id").collect():  # three numbers for each of at most ``rows``
+        if total + r["n"] <= size:
+            total += r["n"]
+            taken.append((r["doc_id"],))
+    spark = docs.sparkSession
+    kept = spark.createDataFrame(taken, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
+    return found.join(F.broadcast(kept), "doc_id", "left_semi").select("text", "label", "turn")
