@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bolide.functions.position import SHOT_FIELDS, TRACK_FIELDS
+from bolide.operators.pairing import Slice, default_budget, edges_between, scope_of, with_launch
+from bolide.plans.settle import settle
 from bolide.plans.skew import ranked
 
 ORDER = ["t", "rock", "slug"]
@@ -27,6 +30,27 @@ def contention_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
+def contention_totals(rocks: DataFrame, slugs: DataFrame, budget: float | None = None) -> DataFrame:
+    """(kind, id, pairs): how many candidate partners each rock and slug has, for those with any.
+
+    From edges between launch classes and their numbers of members; no pair of objects is formed, and
+    the work follows the class edges.
+    """
+    scope = scope_of(rocks, slugs)
+    if scope is None:
+        return rocks.sparkSession.createDataFrame([], "kind string, id long, pairs long")
+    r, s = with_launch(rocks, TRACK_FIELDS), with_launch(slugs, SHOT_FIELDS)
+    whole = Slice(scope.begin, None)
+    edges = edges_between(r, s, whole, scope, default_budget(scope) if budget is None else budget, fold=True)
+    edges = settle(edges, "edges")
+
+    def totals(kind: str, objects: DataFrame, own: str, other: str) -> DataFrame:
+        per_class = edges.groupBy(F.col(f"{own}_launch").alias("launch")).agg(F.sum(f"{other}_n").alias("pairs"))
+        return objects.join(per_class, "launch").select(F.lit(kind).alias("kind"), "id", "pairs")
+
+    return totals("rock", r, "r", "s").unionByName(totals("slug", s, "s", "r"))
+
+
 def contention_ranks(pairs: DataFrame) -> DataFrame:
     """Each pair with its place in its slug's and its rock's time order."""
     by_slug = ranked(pairs, ["slug"], ORDER, _time_chunk(), "slug_rank")

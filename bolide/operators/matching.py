@@ -6,8 +6,12 @@ late time slices: a hit removes both sides before later pairs are even formed,
 so the number of candidate pairs formed stays near the number of hits instead
 of growing with rocks times slugs.
 
-Within a slice, pairs that are first for both their rock and their slug can
-be taken together (Blelloch, Fineman and Shun, SPAA 2012). Copies that meet at
+Within a slice, pairs of different components of the candidate graph have nothing to do
+with each other. A slug has one bearing, so components are those of bearing cells,
+which only turning rocks link. Each component goes through its own pairs in order, all components side by
+side. A component with more pairs than one task should see is matched by classes, in order
+in a task of its own, or, with too many classes as well, by rounds: pairs that are first for both
+their rock and their slug can be taken together (Blelloch, Fineman and Shun, SPAA 2012). Copies that meet at
 one place and time are taken rank by rank in one round instead of one per round.
 """
 
@@ -27,28 +31,34 @@ from bolide.operators.pairing import (
     expand,
     no_edges,
     scope_of,
-    single_pairs,
     unfolded,
     with_launch,
 )
+from bolide.plans.components import components
 from bolide.plans.settle import settle
 from bolide.plans.skew import id_chunk, ranked
 
-# Object pairs that one task may go through in order; counted before use.
+# Object pairs, and class edges, of a component that one task may go through in order; counted before use.
 TAIL_PAIRS = 500_000
 _PLACE = ["t", "m_theta", "m_phi", "m_r"]
 
-Step = Callable[[DataFrame, DataFrame, DataFrame, float | None], DataFrame]
+Step = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
 def _first_come():
-    """Function over sorted batches; nested, so it travels without this package."""
+    """Function over sorted batches; nested, so it travels without this package.
+
+    Where the batches have a component, it is their first sort key and each starts afresh.
+    """
 
     def take(batches):
-        rocks, slugs = set(), set()
+        rocks, slugs, last = set(), set(), None
         for batch in batches:
             keep = []
-            for rock, slug in zip(batch["rock"], batch["slug"]):
+            parts = batch["comp"] if "comp" in batch else [None] * len(batch)
+            for comp, rock, slug in zip(parts, batch["rock"], batch["slug"]):
+                if comp != last:
+                    rocks, slugs, last = set(), set(), comp
                 free = rock not in rocks and slug not in slugs
                 if free:
                     rocks.add(rock)
@@ -68,6 +78,34 @@ def match_in_order(pairs: DataFrame, order: tuple[str, ...] = ("t", "rock", "slu
     )
 
 
+def match_components(pairs: DataFrame) -> DataFrame:
+    """Sequential matching within each component of (comp, rock, slug, t), components side by side."""
+    return (
+        pairs.select("comp", "rock", "slug", "t")
+        .repartition("comp")
+        .sortWithinPartitions("comp", "t", "rock", "slug")
+        .mapInPandas(_first_come(), "comp long, rock long, slug long, t double")
+        .drop("comp")
+    )
+
+
+def with_component(edges: DataFrame) -> DataFrame:
+    """Class edges with ``comp``: edges of different components share no class.
+
+    Nodes are bearing cells, at most one per pair of angle bins; a rock class with edges in several
+    cells links them.
+    """
+    cell = F.col("m_theta").cast("long") * 4096 + F.col("m_phi").cast("long")
+    edges = edges.withColumn("_cell", cell)
+    seen = edges.select("r_launch", "_cell").distinct()
+    spread = seen.groupBy("r_launch").agg(F.min("_cell").alias("a"), F.max("_cell").alias("b"))
+    spread = spread.filter("a < b").select("r_launch", "a")
+    links = seen.join(spread, "r_launch").select("a", F.col("_cell").alias("b"))
+    labels = components(links).withColumnRenamed("node", "_cell")
+    joined = edges.join(F.broadcast(labels), "_cell", "left")  # a row per bearing cell at most
+    return joined.withColumn("comp", F.coalesce("label", "_cell")).drop("_cell", "label")
+
+
 def _firsts(edges: DataFrame) -> DataFrame:
     """Edges that are earliest for their rock class or slug class.
 
@@ -143,7 +181,8 @@ def _classes_in_order():
 
     Takes as many members as both classes still have, lowest ids first. Where
     classes tie at one time their ids interleave, which counts cannot tell; those
-    classes, and what depends on them, are left for a later round.
+    classes, and what depends on them, are left for a later round. Components come one after
+    the other and share no class.
     """
 
     def take(batches):
@@ -179,14 +218,18 @@ def _classes_in_order():
                     used[x] = used.get(x, 0) + n
             return made
 
-        group, out = [], []
+        group, out, last = [], [], None
         names = ["r_launch", "s_launch", "t", "r_from", "s_from", "taken"]
         for batch in batches:
-            rows = batch[["r_launch", "s_launch", "t", "r_n", "s_n"]]
-            for row in rows.itertuples(index=False, name=None):
-                if group and group[0][2] != row[2]:
+            rows = batch[["comp", "r_launch", "s_launch", "t", "r_n", "s_n"]]
+            for comp, *row in rows.itertuples(index=False, name=None):
+                if group and (group[0][2] != row[2] or comp != last):
                     out.extend(resolve(group))
                     group = []
+                if comp != last:
+                    last = comp
+                    for held in (left, used, unsure):
+                        held.clear()
                 group.append(row)
             yield pd.DataFrame(out, columns=names)
             out = []
@@ -196,15 +239,15 @@ def _classes_in_order():
 
 
 def _class_hits(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
-    """Hits of a counted, small set of class edges, members paired rank by rank.
+    """Hits of components with a counted, small set of class edges, members paired rank by rank.
 
-    Only the class edges go through one task. The members, however many, are
+    Only a component's class edges go through one task. The members, however many, are
     ranked in pieces and joined on (class, rank), a key that no two share.
     """
     taken = settle(
-        edges.select("r_launch", "s_launch", "t", "r_n", "s_n")
-        .repartition(1)
-        .sortWithinPartitions("t", "r_launch", "s_launch")
+        edges.select("comp", "r_launch", "s_launch", "t", "r_n", "s_n")
+        .repartition("comp")
+        .sortWithinPartitions("comp", "t", "r_launch", "s_launch")
         .mapInPandas(
             _classes_in_order(),
             "r_launch string, s_launch string, t double, r_from long, s_from long, taken long",
@@ -248,7 +291,7 @@ def without(objects: DataFrame, hits: DataFrame, name: str) -> DataFrame:
     return objects.join(hits.select(F.col(name).alias("id")), "id", "left_anti")
 
 
-def _recount(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
+def recounted(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
     """Edges between classes that still have members, with fresh counts."""
 
     def classes(objects: DataFrame, p: str) -> DataFrame:
@@ -260,55 +303,71 @@ def _recount(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
     return bare.join(classes(rocks, "r"), "r_launch").join(classes(slugs, "s"), "s_launch")
 
 
+def merged(edges: DataFrame) -> DataFrame:
+    """Class edges of several pairings, each once."""
+    key = ["r_launch", "s_launch"]
+    return edges.groupBy(*key).agg(*[F.first(c).alias(c) for c in edges.columns if c not in key])
+
+
 def match_edges(
     edges: DataFrame,
     rocks: DataFrame,
     slugs: DataFrame,
     tail: int = TAIL_PAIRS,
-    singles: float | None = None,
     class_tail: int = TAIL_PAIRS,
 ) -> DataFrame:
-    """Hits among class edges of one slice, as a settled table.
+    """Hits among written class edges of one slice, as a settled table.
 
-    ``singles``: the classes have one member each, and this many pairs at most.
+    Components with at most ``tail`` object pairs are matched pair by pair, each in a task. Of the others those with at
+    most ``class_tail`` class edges alternate between a pass by classes and a round, which
+    settles ties; the largest have rounds only. What has shrunk is pair by pair the next time.
     """
-    if singles is not None and singles <= tail:
-        return settle(match_in_order(single_pairs(edges)), "hits")
-    edges = settle(edges, "edges")
+    edges = with_component(edges)
     parts: list[DataFrame] = []
-    trimmed, by_class = False, singles is None
+    trimmed, by_class = False, True
     while True:
-        row = edges.agg(
-            F.count(F.lit(1)), F.sum(F.col("r_n").cast("double") * F.col("s_n"))
-        ).first()
-        if not row[0]:
+        pairs = F.sum(F.col("r_n").cast("double") * F.col("s_n"))
+        sizes = edges.groupBy("comp").agg(F.count(F.lit(1)).alias("_edges"), pairs.alias("_pairs"))
+        own, small = F.col("_pairs") <= tail, F.col("_edges") <= class_tail
+        n_own, n_small, n_large = (
+            sizes.agg(F.count_if(own), F.count_if(~own & small), F.count_if(~own & ~small)).first()
+        )
+        if not n_own + n_small + n_large:
             break
-        if row[1] <= tail:
-            few = single_pairs(edges) if singles is not None else expand(edges, rocks, slugs)
-            parts.append(match_in_order(few))
+        alone = n_small + n_large == 0
+        if alone:
+            mine = edges
+        else:
+            sizes = settle(sizes, "components")  # a row per component, so per bearing cell at most
+            edges = edges.join(F.broadcast(sizes), "comp")
+            mine, rest = edges.filter(own), settle(edges.filter(~own), "edges")
+        if n_own:
+            hits = settle(match_components(expand(mine, rocks, slugs, "comp")), "hits")
+            parts.append(hits)
+        if alone:
             break
         if not trimmed:
             # Only members of classes with an edge take part from here on.
-            r_in = edges.select(F.col("r_launch").alias("launch")).distinct()
-            s_in = edges.select(F.col("s_launch").alias("launch")).distinct()
+            r_in = rest.select(F.col("r_launch").alias("launch")).distinct()
+            s_in = rest.select(F.col("s_launch").alias("launch")).distinct()
             rocks = settle(rocks.join(r_in, "launch", "left_semi").select("id", "launch"), "rocks")
             slugs = settle(slugs.join(s_in, "launch", "left_semi").select("id", "launch"), "slugs")
             trimmed = True
-        # Passes over few class edges alternate with rounds, which settle the ties.
-        pass_now = by_class and row[0] <= class_tail
-        by_class = singles is None and not pass_now
-        step = _class_hits if pass_now else _round
-        hits = settle(step(edges, rocks, slugs), "hits")
+        found = []
+        if n_small:
+            # Passes over few class edges alternate with rounds, which settle the ties.
+            found.append((_class_hits if by_class else _round)(rest.filter(small), rocks, slugs))
+            by_class = not by_class
+        if n_large:
+            found.append(_round(rest.filter(~small), rocks, slugs))
+        hits = settle(_all(found, rocks), "hits")
         parts.append(hits)
         rocks = settle(without(rocks, hits, "rock"), "rocks")
         slugs = settle(without(slugs, hits, "slug"), "slugs")
-        edges = settle(_recount(edges, rocks, slugs), "edges")
+        edges = settle(recounted(rest.drop("_edges", "_pairs"), rocks, slugs), "edges")
     if not parts:
         return no_edges(edges)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return settle(found, "hits")
+    return parts[0] if len(parts) == 1 else settle(_all(parts, rocks), "hits")
 
 
 def _sweep(
@@ -325,7 +384,6 @@ def _sweep(
         return []
     limit = default_budget(scope) if budget is None else budget
     fold = not unfolded(scope, limit)
-    singles = None if fold else float(scope.rocks) * scope.slugs
     rocks = with_launch(rocks, TRACK_FIELDS, fold)
     slugs = with_launch(slugs, SHOT_FIELDS, fold)
     begin = scope.begin if start is None else max(scope.begin, start)
@@ -336,7 +394,7 @@ def _sweep(
         if edges is None:
             todo.extend(reversed(cut(sl, scope)))
             continue
-        found = step(edges, rocks, slugs, singles)
+        found = step(edges, rocks, slugs)
         results.append(found)
         if todo and "rock" in used:
             rocks = settle(without(rocks, found, "rock"), "rocks")
@@ -364,13 +422,14 @@ def ordered_matching(
 ) -> DataFrame:
     """Hits (rock, slug, t): at most one per rock and per slug.
 
+    ``tail`` and ``class_tail`` bound what one task goes through of a component; the result is the same for any.
     ``start`` skips all meetings before a time, for callers that know the
     earlier hits and have taken their objects out.
     """
     parts = _sweep(
         rocks,
         slugs,
-        lambda e, r, s, singles: match_edges(e, r, s, tail, singles, class_tail),
+        lambda e, r, s: match_edges(settle(e, "edges"), r, s, tail, class_tail),
         ("rock", "slug"),
         budget,
         start,
@@ -378,9 +437,7 @@ def ordered_matching(
     return _all(parts, rocks)
 
 
-def _earliest_per_rock(
-    edges: DataFrame, rocks: DataFrame, slugs: DataFrame, singles: float | None
-) -> DataFrame:
+def _earliest_per_rock(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
     """The earliest slug of each rock; every copy of a rock has the same one."""
     best = edges.groupBy("r_launch").agg(F.min(F.struct("t", "s_lo")).alias("_b"))
     found = rocks.join(best, rocks.launch == best.r_launch).select(
@@ -433,26 +490,3 @@ def match_pairs(pairs: DataFrame, order: list[str], tail: int = TAIL_PAIRS) -> D
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-def match_by_fold(pairs: DataFrame) -> DataFrame:
-    """Literal running aggregate over (t, rock, slug), for one small set of pairs."""
-    entry = F.struct("t", "rock", "slug")
-    start = F.expr(
-        "named_struct('hits', cast(array() as array<struct<t:double,rock:bigint,slug:bigint>>))"
-    )
-
-    def take(acc, x):
-        taken = F.exists(
-            acc["hits"], lambda h: (h["rock"] == x["rock"]) | (h["slug"] == x["slug"])
-        )
-        return F.struct(
-            F.when(taken, acc["hits"]).otherwise(F.array_append(acc["hits"], x)).alias("hits")
-        )
-
-    ordered = F.sort_array(F.collect_list(entry))
-    return (
-        pairs.agg(F.aggregate(ordered, start, take).alias("_acc"))
-        .select(F.explode("_acc.hits").alias("h"))
-        .select("h.rock", "h.slug", "h.t")
-    )

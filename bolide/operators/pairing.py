@@ -425,7 +425,7 @@ def cut(sl: Slice, scope: Scope) -> tuple[Slice, Slice] | None:
 
 
 def edges_within(
-    rocks: DataFrame, slugs: DataFrame, sl: Slice, scope: Scope, budget: float
+    rocks: DataFrame, slugs: DataFrame, sl: Slice, scope: Scope, budget: float, fold: bool = False
 ) -> DataFrame | None:
     """Class edges of a slice, or None if it should be cut first.
 
@@ -433,7 +433,7 @@ def edges_within(
     the radius grid only where they leave too many candidates. A slice that
     cannot be cut further is joined whatever its size.
     """
-    if unfolded(scope, budget):
+    if not fold and unfolded(scope, budget):
         return class_edges(keyed_by_course(rocks, slugs, scope), Bound(0.0, 0.0), sl, scope)
     r_classes = launch_classes(rocks, TRACK_FIELDS)
     s_classes = launch_classes(slugs, SHOT_FIELDS)
@@ -445,6 +445,24 @@ def edges_within(
     return None
 
 
+def edges_between(
+    rocks: DataFrame, slugs: DataFrame, sl: Slice, scope: Scope, budget: float, fold: bool = False
+) -> DataFrame | None:
+    """Class edges of all of a slice, which is cut where it has too many candidates; None without any.
+
+    ``fold``: launches are of classes even where all pairs would be within the budget.
+    """
+    todo, found = [sl], None
+    while todo:
+        part = todo.pop()
+        edges = edges_within(rocks, slugs, part, scope, budget, fold)
+        if edges is None:
+            todo.extend(reversed(cut(part, scope)))
+            continue
+        found = edges if found is None else found.unionByName(edges)
+    return found
+
+
 def unfolded(scope: Scope, budget: float) -> bool:
     """Even all pairs are within the budget: no need to fold copies or to count."""
     return float(scope.rocks) * scope.slugs <= min(budget, 4.0 * _CELL_PAIRS)
@@ -455,11 +473,11 @@ def default_budget(scope: Scope) -> float:
     return max(20e6, 16.0 * (scope.rocks + scope.slugs))
 
 
-def expand(edges: DataFrame, rocks: DataFrame, slugs: DataFrame) -> DataFrame:
-    """Object pairs (rock, slug, t) of class edges."""
+def expand(edges: DataFrame, rocks: DataFrame, slugs: DataFrame, *others: str) -> DataFrame:
+    """Object pairs (rock, slug, t and others) of class edges."""
     r = rocks.select(F.col("launch").alias("r_launch"), F.col("id").alias("rock"))
     s = slugs.select(F.col("launch").alias("s_launch"), F.col("id").alias("slug"))
-    return edges.join(r, "r_launch").join(s, "s_launch").select("rock", "slug", "t")
+    return edges.join(r, "r_launch").join(s, "s_launch").select("rock", "slug", "t", *others)
 
 
 def candidate_edges(
@@ -473,14 +491,7 @@ def candidate_edges(
     fold = not unfolded(scope, limit)
     rocks = with_launch(rocks, TRACK_FIELDS, fold)
     slugs = with_launch(slugs, SHOT_FIELDS, fold)
-    todo, found = [Slice(scope.begin, None)], None
-    while todo:
-        sl = todo.pop()
-        edges = edges_within(rocks, slugs, sl, scope, limit)
-        if edges is None:
-            todo.extend(reversed(cut(sl, scope)))
-            continue
-        found = edges if found is None else found.unionByName(edges)
+    found = edges_between(rocks, slugs, Slice(scope.begin, None), scope, limit)
     return expand(found, rocks, slugs) if fold else single_pairs(found)
 
 

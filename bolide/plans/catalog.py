@@ -11,6 +11,7 @@ from bolide.functions import numeric as N
 from bolide.functions import position as P
 from bolide.operators import contention, fragments, history, matching, names
 from bolide.operators import pairing, quality, reports, solve, views, whatif
+from bolide.plans import sql_functions
 from bolide.plans.settle import settle
 from bolide.sources import records, tables
 
@@ -256,6 +257,46 @@ def ordered_matching(spark: SparkSession, d: str) -> DataFrame:
     return matching.ordered_matching(rocks(spark, d), slugs(spark, d))
 
 
+def ordered_matching_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same with every component matched by classes and rounds."""
+    return matching.ordered_matching(rocks(spark, d), slugs(spark, d), tail=0)
+
+
+def ordered_matching_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same by rounds alone: no component goes through one task."""
+    return matching.ordered_matching(rocks(spark, d), slugs(spark, d), tail=0, class_tail=0)
+
+
+def contention_totals(spark: SparkSession, d: str) -> DataFrame:
+    return contention.contention_totals(rocks(spark, d), slugs(spark, d))
+
+
+def sql_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of the hypothetical slug, and the slugs of the table at its bearing, by SQL alone."""
+    sql_functions.register(spark, rocks(spark, d), slugs(spark, d))
+    return spark.sql(
+        """
+        SELECT c.*, r.name AS rock_name, k.n AS slugs_at_bearing
+        FROM collisions_with_slug(1000000, 0D, 0.1D, 0.1D, 50D) AS c
+        JOIN rocks AS r ON r.id = c.rock
+        LEFT JOIN (SELECT theta_bin(theta) AS theta, phi_bin(phi) AS phi, count(*) AS n FROM slugs GROUP BY 1, 2) AS k
+        ON k.theta = theta_bin(c.pos_theta) AND k.phi = phi_bin(c.pos_phi)
+        """
+    )
+
+
+def sql_hits(spark: SparkSession, d: str) -> DataFrame:
+    """First rock that each of the two hypothetical slugs meets, by SQL alone."""
+    sql_functions.register(spark, rocks(spark, d), slugs(spark, d))
+    return spark.sql(
+        """
+        SELECT 50D AS v, min_by(rock, struct(t, rock)) AS rock, min(t) AS t FROM hits_of_slug(1, 0D, 0.1D, 0.1D, 50D)
+        UNION ALL
+        SELECT 5D AS v, min_by(rock, struct(t, rock)) AS rock, min(t) AS t FROM hits_of_slug(2, 0D, 0.1D, 0.1D, 5D)
+        """
+    )
+
+
 def hits_named(spark: SparkSession, d: str) -> DataFrame:
     return views.named(hits(spark, d), rocks(spark, d), slugs(spark, d)).select(
         "rock_name", "slug_name", "t", "pos_r", "pos_theta", "pos_phi"
@@ -379,6 +420,22 @@ def family_by_prefix(spark: SparkSession, d: str) -> DataFrame:
     return fragments.family_by_prefix(_family(spark, d), "Supplier#00000000").select("id", "name")
 
 
+def cascading_delete(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of all rocks and fragments when every third root and all that came from it go."""
+    family = settle(_family(spark, d), "family")
+    roots = family.filter("generation = 0 and id % 3 = 0").select("id")
+    return fragments.cascading_delete(family, roots).select("id", "name", "generation")
+
+
+def lineage_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Descendants of two customers where each comes from the one with half its number."""
+    key = F.col("c_custkey")
+    links = tables.table(spark, d, "customer").select(
+        key.alias("id"), F.when(key > 1, F.floor(key / 2)).cast("long").alias("source")
+    )
+    return fragments.descendants(links, spark.createDataFrame([(5,), (14,)], "id long"))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return fragments.static_fragments(firsts(spark, d), rocks(spark, d), slugs(spark, d))
 
@@ -655,6 +712,13 @@ def queries() -> dict[str, Query]:
         "collisions_named": collisions_named,
         "candidate_hits": candidate_hits,
         "ordered_matching": ordered_matching,
+        "ordered_matching_classes": ordered_matching_classes,
+        "ordered_matching_rounds": ordered_matching_rounds,
+        "contention_totals": contention_totals,
+        "sql_collisions": sql_collisions,
+        "sql_hits": sql_hits,
+        "cascading_delete": cascading_delete,
+        "lineage_closure": lineage_closure,
         "hits_named": hits_named,
         "first_hit_per_rock": firsts,
         "first_rock_per_slug": lambda s, d: contention.first_rock_per_slug(firsts(s, d)),

@@ -1,10 +1,11 @@
 """Hits kept up to date under a stream of changes to rocks and slugs.
 
-A micro-batch of upserts and deletes is folded into the tables, the earliest
+A micro-batch of upserts and deletes is added to the tables' logs, the earliest
 meeting that any changed object has or had is found, and only hits from that
 time on are matched again: earlier hits cannot change. The differences come out
 as a feed of retracted and added hits, since a late or faster slug may take
-back an earlier answer.
+back an earlier answer. They are also all that is written of the hits and fragments, so the
+bytes that a batch writes follow its changes and not the size of the tables.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ from bolide.functions.position import SHOT_FIELDS, TRACK_FIELDS
 from bolide.operators.fragments import FAMILY, cascade, with_family
 from bolide.operators.history import diff
 from bolide.operators.pairing import candidate_edges
-from bolide.operators.whatif import replaced
 from bolide.plans.settle import settle
-from bolide.streaming.state import VersionedTables
+from bolide.streaming.state import DeltaTables
 
 _TRACK = ", ".join(f"{c} double" for c in TRACK_FIELDS)
 ROCKS = f"id long, name string, mass long, target string, {_TRACK}"
@@ -45,15 +45,13 @@ class HitKeeper:
         path: str,
         rule: str = "reference",
         epoch_s: float = 0.0,
+        buckets: int = 16,
+        compact_every: int = 16,
     ):
-        schemas = {
-            "rocks": ROCKS,
-            "slugs": SLUGS,
-            "hits": HITS,
-            "fragments": FRAGMENTS,
-            "feed": FEED,
-        }
-        self.tables = VersionedTables(spark, path, schemas)
+        schemas = {"rocks": ROCKS, "slugs": SLUGS, "hits": HITS, "fragments": FRAGMENTS}
+        keys = {"rocks": "id", "slugs": "id", "hits": "rock", "fragments": "id"}
+        self.tables = DeltaTables(spark, path, schemas, keys, buckets, compact_every)
+        self.spark, self.path = spark, path
         self.rule, self.epoch_s = rule, epoch_s
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -61,14 +59,19 @@ class HitKeeper:
         before = tables.latest(before=batch_id)
         old = {name: tables.read(name, before) for name in ("rocks", "slugs", "hits", "fragments")}
         latest = settle(_latest(batch), "changes")
-        rocks, rock_moves = _applied(old["rocks"], latest, "rock")
-        slugs, slug_moves = _applied(old["slugs"], latest, "slug")
-        rocks = tables.write("rocks", batch_id, rocks)
-        slugs = tables.write("slugs", batch_id, slugs)
-        since = self._first_affected(old, rocks, slugs, rock_moves, slug_moves)
-        if since is None:
-            hits, fragments = old["hits"], old["fragments"]
-        else:
+        moves: dict[str, DataFrame | None] = {"rocks": None, "slugs": None}
+        kinds = {r["kind"] for r in latest.select("kind").distinct().collect()}
+        for kind, name in (("rock", "rocks"), ("slug", "slugs")):
+            if kind not in kinds:
+                continue
+            mine = latest.filter(F.col("kind") == kind)
+            held = settle(tables.read(name, before, keys=mine.select("id")), "held")
+            new, gone, moves[name] = _applied(held, mine)
+            tables.write(name, batch_id, new, gone)
+        rocks, slugs = (tables.read(name, before, batch_id) for name in ("rocks", "slugs"))
+        since = self._first_affected(old, rocks, slugs, moves["rocks"], moves["slugs"])
+        feeds = {"hits": self.spark.createDataFrame([], FEED)}
+        if since is not None:
             hits, fragments = cascade(
                 rocks,
                 slugs,
@@ -76,28 +79,39 @@ class HitKeeper:
                 self.epoch_s,
                 since=(since, old["hits"], old["fragments"]),
             )
-        hits = tables.write("hits", batch_id, hits.select("rock", "slug", "t"))
-        tables.write("fragments", batch_id, fragments.select(*FAMILY))
-        tables.write("feed", batch_id, diff(old["hits"], hits))
+            feeds["hits"] = diff(old["hits"], hits.select("rock", "slug", "t"))
+            feeds["fragments"] = diff(old["fragments"], fragments.select(*FAMILY))
+        for name, feed in feeds.items():
+            # The hits' feed is kept for readers, the other only until its delta is written.
+            where = f"{self.path}/{name}-feed/batch={batch_id}"
+            feed.write.mode("overwrite").parquet(where)
+            feed = self.spark.read.schema(feed.schema).parquet(where)
+            if since is not None:
+                tables.write(name, batch_id, feed.filter("op = 'add'").drop("op"), feed.filter("op = 'retract'"))
         tables.commit(batch_id)
 
+    def feed(self, batch: int | None = None) -> DataFrame:
+        """Retracted and added hits of a committed batch, by default the last."""
+        batch = self.tables.latest() if batch is None else batch
+        return self.spark.read.schema(FEED).parquet(f"{self.path}/hits-feed/batch={batch}")
+
     def _first_affected(
         self,
         old: dict[str, DataFrame],
         rocks: DataFrame,
         slugs: DataFrame,
-        rock_moves: DataFrame,
-        slug_moves: DataFrame,
+        rock_moves: DataFrame | None,
+        slug_moves: DataFrame | None,
     ) -> float | None:
         """Earliest meeting of any old or new version of a changed object.
 
         None when nothing changed hands: then the old answer stands.
         """
         earliest = []
-        if not rock_moves.isEmpty():
+        if rock_moves is not None and not rock_moves.isEmpty():
             partners = _both(old["slugs"], slugs)
             earliest.append(_first_meeting(rock_moves, partners))
-        if not slug_moves.isEmpty():
+        if slug_moves is not None and not slug_moves.isEmpty():
             partners = _both(with_family(old["rocks"]), with_family(rocks))
             partners = partners.unionByName(old["fragments"].select(*partners.columns))
             earliest.append(_first_meeting(partners, slug_moves))
@@ -115,20 +129,18 @@ def _latest(batch: DataFrame) -> DataFrame:
     )
 
 
-def _applied(old: DataFrame, changes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """New table, and the old and new versions of rows that really changed.
+def _applied(held: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows to write, ids to delete, and the old and new versions of rows that really change.
 
-    An upsert that equals the stored row is no change.
+    ``held``: the stored rows of the changed ids. An upsert that equals its stored row is no change.
     """
-    mine = changes.filter(F.col("kind") == kind)
-    upserts = mine.filter(F.col("op") == "upsert").select(*old.columns)
-    deleted = mine.filter(F.col("op") == "delete").select("id")
-    new = upserts.subtract(old)
-    gone = old.join(deleted, "id", "left_semi")
-    stale = old.join(new.select("id"), "id", "left_semi")
-    table = replaced(old.join(deleted, "id", "left_anti"), new)
+    upserts = changes.filter(F.col("op") == "upsert").select(*held.columns)
+    deleted = changes.filter(F.col("op") == "delete").select("id")
+    new = settle(upserts.subtract(held), "changed")
+    gone = held.join(deleted, "id", "left_semi")
+    stale = held.join(new.select("id"), "id", "left_semi")
     moves = settle(new.unionByName(stale).unionByName(gone), "moves")
-    return table, moves
+    return new, gone.select("id"), moves
 
 
 def _both(old: DataFrame, new: DataFrame) -> DataFrame:

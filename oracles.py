@@ -741,6 +741,41 @@ where status <> 'P'""",
  cast(0.1 as double) as phi, cast(50 as double) as v from timed where reject_reason is null""",
         ),
     }
+    out["ordered_matching_classes"] = out["ordered_matching_rounds"] = out["ordered_matching"]
+    out["contention_totals"] = sql(
+        *CANDS,
+        then="""select 'rock' as kind, rock as id, count(*) as pairs from candidates group by rock
+union all select 'slug', slug, count(*) from candidates group by slug""",
+    )
+    out["sql_collisions"] = sql(
+        *BASE,
+        *of_slug[len(BASE) :],
+        f"k as (select {th('theta')} as theta, {ph('phi')} as phi, count(*) as n from slugs group by 1, 2)",
+        then=f"""select {", ".join("c." + x for x in verdict.split(", "))}, r.name as rock_name, k.n as slugs_at_bearing
+ from of_slug c join rocks r on r.id = c.rock
+ left join k on k.theta = {th("c.pos_theta")} and k.phi = {ph("c.pos_phi")}""",
+    )
+    out["sql_hits"] = sql(
+        ROCKS,
+        "two as (select 1 as id, 'a' as name, cast(0 as double) as fired_s, cast(0.1 as double) as theta,"
+        " cast(0.1 as double) as phi, cast(50 as double) as v"
+        " union all select 2, 'b', cast(0 as double), cast(0.1 as double), cast(0.1 as double), cast(5 as double))",
+        candidates("met", "rocks", "two"),
+        then="""select two.v, arg_min(rock, row(t, rock)) as rock, min(t) as t from two left join met on slug = two.id
+group by two.v""",
+    )
+    out["cascading_delete"] = sql(
+        *world(),
+        "fallen as (select id from world where id < 1000000000000 and id % 3 = 0"
+        " union all select w.id from world w join fallen f on w.id - 1000000000000 = f.id)",
+        then="""select id, name, id // 1000000000000 as generation from world
+where id not in (select id from fallen)""",
+    )
+    out["lineage_closure"] = sql(
+        "fallen as (select c_custkey as id from customer where c_custkey // 2 in (5, 14) and c_custkey > 1"
+        " union all select c_custkey from customer join fallen on c_custkey // 2 = id and c_custkey > 1)",
+        then="select distinct id from fallen",
+    )
     for rule, suffix in (("reference", ""), ("continuous", "_continuous")):
         out[f"cascade_hits{suffix}"] = sql(
             *cascade(rule), then="select rock, slug, t from g where rock is not null"

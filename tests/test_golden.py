@@ -1,7 +1,6 @@
 """The twelve-step scenario, fed as micro-batches of changes to the hit keeper."""
 
 import math
-import os
 
 import pytest
 from bolide.functions.numeric import LIGHT_SPEED as C
@@ -61,11 +60,8 @@ STEPS = [
 ]
 
 
-# Steps that arrive together; the state is checked after each group. With
-# EVERY_STEP set, each step is a micro-batch of its own.
-GROUPS = [[0], [1, 2, 3], [4, 5], [6], [7, 8], [9, 10], [11]]
-if os.environ.get("EVERY_STEP"):
-    GROUPS = [[i] for i in range(len(STEPS))]
+# Each step is a micro-batch of its own.
+GROUPS = [[i] for i in range(len(STEPS))]
 
 
 @pytest.fixture(scope="module")
@@ -85,19 +81,20 @@ def kept(spark, tmp_path_factory):
 
 
 def _run_steps(spark, tmp_path_factory):
-    keeper = HitKeeper(spark, str(tmp_path_factory.mktemp("keeper")), epoch_s=MIDNIGHT)
+    folder = str(tmp_path_factory.mktemp("keeper"))
+    keeper = HitKeeper(spark, folder, epoch_s=MIDNIGHT, buckets=2, compact_every=4)
     states = {}
     for batch, group in enumerate(GROUPS):
         changes = [(step, *row[1:]) for step in group for row in STEPS[step][0]]
         keeper(spark.createDataFrame(changes, CHANGES), batch)
-        tables = {n: keeper.tables.current(n) for n in ("rocks", "slugs", "hits", "fragments", "feed")}
+        tables = {n: keeper.tables.current(n) for n in ("rocks", "slugs", "hits", "fragments")}
         everyone = tables["rocks"].select("id", "name").unionByName(
             tables["fragments"].select("id", "name")
         )
         pairs = named(tables["hits"], everyone, tables["slugs"]).collect()
         names = [r.name for r in everyone.collect()]
         check = matching_invariants(tables["hits"]).first()
-        feed = tables["feed"].collect()
+        feed = keeper.feed().collect()
         states[group[-1]] = ({r.rock_name: r.slug_name for r in pairs}, names, check, feed)
     return states
 

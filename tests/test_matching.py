@@ -2,7 +2,10 @@ import random
 
 import brute
 import pytest
-from bolide.operators import matching, pairing
+from bolide.operators import fragments, matching, pairing
+from bolide.plans import components
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def frames(spark, rocks, slugs):
@@ -16,6 +19,29 @@ def rows(df):
     return {(r.rock, r.slug, r.t) for r in df.collect()}
 
 
+def match_by_fold(pairs: DataFrame) -> DataFrame:
+    """Literal running aggregate over (t, rock, slug), for one small set of pairs."""
+    entry = F.struct("t", "rock", "slug")
+    start = F.expr(
+        "named_struct('hits', cast(array() as array<struct<t:double,rock:bigint,slug:bigint>>))"
+    )
+
+    def take(acc, x):
+        taken = F.exists(
+            acc["hits"], lambda h: (h["rock"] == x["rock"]) | (h["slug"] == x["slug"])
+        )
+        return F.struct(
+            F.when(taken, acc["hits"]).otherwise(F.array_append(acc["hits"], x)).alias("hits")
+        )
+
+    ordered = F.sort_array(F.collect_list(entry))
+    return (
+        pairs.agg(F.aggregate(ordered, start, take).alias("_acc"))
+        .select(F.explode("_acc.hits").alias("h"))
+        .select("h.rock", "h.slug", "h.t")
+    )
+
+
 def test_rest_in_one_task(spark):
     rocks, slugs = brute.scene(1, 40, 60)
     pairs = brute.candidates(rocks, slugs)
@@ -104,7 +130,7 @@ def test_fold_agrees(spark):
     rocks, slugs = brute.scene(6, 20, 30)
     pairs = brute.candidates(rocks, slugs)
     df = spark.createDataFrame(sorted(pairs), "rock long, slug long, t double")
-    assert rows(matching.match_by_fold(df)) == brute.in_order(pairs)
+    assert rows(match_by_fold(df)) == brute.in_order(pairs)
     assert rows(matching.match_pairs(df, ["t", "rock", "slug"], 0)) == brute.in_order(pairs)
 
 
@@ -116,3 +142,54 @@ def test_one_rock_first_at_two_places_is_hit_once(spark):
     r, s = frames(spark, rocks, slugs)
     got = rows(matching.ordered_matching(r, s, budget=3.0, tail=0, class_tail=0))
     assert {(rock, slug) for rock, slug, _ in got} == {(1, 1)}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_chains_and_stars(spark, few):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 500), (-3, -7), (-7, -3)]
+    edges += [(rng.randrange(1000, 1060), rng.randrange(1000, 1060)) for _ in range(35)]
+    rng.shuffle(edges)
+    known = {}
+    for a, b in edges:
+        if a != b:
+            known.setdefault(a, {a})
+            known.setdefault(b, {b})
+            whole = known[a] | known[b]
+            for x in whole:
+                known[x] = whole
+    rows = components.components(spark.createDataFrame(edges, "a long, b long"), few).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["label"], set()).add(r["node"])
+    assert {r["node"] for r in rows} == set(known) and len(rows) == len(known)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in known.values()}
+    assert components.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
+@pytest.mark.parametrize(("tail", "class_tail"), [(0, 0), (0, 10**6), (40, 3)])
+def test_any_path_gives_the_same(spark, tail, class_tail):
+    """Components pair by pair, by classes and by rounds, in one scene of turning and still rocks."""
+    rocks, slugs = brute.scene(8, 25, 40, copies=2)
+    want = brute.in_order(brute.candidates(rocks, slugs))
+    r, s = frames(spark, rocks, slugs)
+    assert rows(matching.ordered_matching(r, s, tail=tail, class_tail=class_tail)) == want
+
+
+def test_cascade_in_slices_is_the_same(spark):
+    rocks, slugs = brute.scene(4, 14, 30)
+    r, s = frames(spark, rocks, slugs)
+    hits, pieces = fragments.cascade(r, s, "continuous")
+    cut_hits, cut_pieces = fragments.cascade(r, s, "continuous", budget=150.0)
+    assert rows(hits) == rows(cut_hits) and hits.count() > 0
+    assert {p.id for p in pieces.collect()} == {p.id for p in cut_pieces.collect()}
+
+
+def test_closure_of_deep_lineage(spark):
+    links = [(i, i - 1 if i % 50 else None) for i in range(200)] + [(900, 7), (901, 900), (902, 999)]
+    df = spark.createDataFrame(links, "id long, source long")
+    got = fragments.descendants(df, spark.createDataFrame([(3,), (60,), (3,), (999,)], "id long"))
+    assert sorted(r["id"] for r in got.collect()) == [*range(4, 50), *range(61, 100), 900, 901, 902]
+    circle = spark.createDataFrame([(1, 2), (2, 1)], "id long, source long")
+    with pytest.raises(ValueError):
+        fragments.descendants(circle, df.select("id").limit(1)).count()

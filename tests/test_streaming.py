@@ -1,6 +1,6 @@
-from bolide.operators import history, solve
+from bolide.operators import fragments, history, solve
 from bolide.sources import tables
-from bolide.streaming import maintain, rates, versions
+from bolide.streaming import maintain, rates, state, versions
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -96,3 +96,65 @@ def test_versions_late_deleted_and_uncommitted(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     keeper(feed.limit(0), 4)
     assert keeper.history().exceptAll(want).count() == 0 and keeper.history().count() == want.count()
+
+
+def _folders(path):
+    return {str(p.relative_to(path)) for p in path.glob("*/*/*") if p.is_dir() and "bucket" not in p.name}
+
+
+def test_delta_tables(spark, tmp_path):
+    """A batch writes its own rows, bases replace old deltas, and a replay changes nothing."""
+    kept = state.DeltaTables(spark, str(tmp_path), {"t": "id long, v long"}, {"t": "id"}, buckets=4, compact_every=3)
+    want = {}
+
+    def rows(df):
+        return {r["id"]: r["v"] for r in df.collect()}
+
+    def step(batch, upserts, gone):
+        new = spark.createDataFrame(upserts, "id long, v long")
+        kept.write("t", batch, new, spark.createDataFrame([(i,) for i in gone], "id long"))
+
+    for batch in range(9):
+        upserts = [(i, batch) for i in range(batch, 20, 3)] if batch else [(i, 0) for i in range(500)]
+        gone = [batch + 1, 400 + batch, 9999]
+        before = kept.latest(before=batch)
+        if batch == 4:  # a try that fails before its commit
+            step(batch, [(1, -1)], [])
+        step(batch, upserts, gone)
+        assert rows(kept.read("t", before)) == want
+        want.update(upserts)
+        for i in set(gone) - {i for i, _ in upserts}:
+            want.pop(i, None)
+        assert rows(kept.read("t", before, batch)) == want
+        kept.commit(batch)
+        assert rows(kept.current("t")) == want
+        some = spark.createDataFrame([(3,), (9999,), (77,)], "id long")
+        assert rows(kept.read("t", batch, keys=some)) == {i: want[i] for i in (3, 77) if i in want}
+    files = {b: sum(f.stat().st_size for f in tmp_path.glob(f"t/delta/batch={b}/**/*.parquet")) for b in (7, 8)}
+    assert all(0 < n < 12_000 for n in files.values())
+    left = _folders(tmp_path)
+    assert {x for x in left if x.startswith("t/base")} == {"t/base/batch=5", "t/base/batch=8"}
+    assert not list(tmp_path.glob("t/delta/batch=0")) and not list(tmp_path.glob("t/base/batch=2"))
+
+
+def test_hits_kept_from_a_stream(spark, tmp_path):
+    """Hits of a stream of change files equal those of the last state."""
+    rocks = [(i, f"r{i}", 3, None, 0.0, 0.0, 0.1 + (i % 2) / 4, 0.0, 0.1, 100.0 + i, 0.0) for i in range(6)]
+    slugs = [(i, f"s{i}", None, 1.0 * i, 0.1 + (i % 2) / 4, 0.1, 5.0) for i in range(9)]
+    none = (None,) * 5
+    changes = [(0, "rock", "upsert", *r, None, None) for r in rocks]
+    late = [(1, "slug", "upsert", i, n, None, g, f, *none, v, th, ph) for i, n, g, f, th, ph, v in slugs]
+    late.append((2, "rock", "delete", 5, *(None,) * 12))
+    for part in (changes, late):
+        one = spark.createDataFrame(part, maintain.CHANGES).coalesce(1)
+        one.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(maintain.CHANGES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    keeper = maintain.HitKeeper(spark, str(tmp_path / "kept"), rule="continuous", buckets=2)
+    run(maintain.keep_hits(stream, keeper, str(tmp_path / "cp")))
+    left = [r for r in rocks if r[0] != 5]
+    r = spark.createDataFrame(left, maintain.ROCKS)
+    s = spark.createDataFrame(slugs, maintain.SLUGS)
+    want = fragments.cascade(r, s, "continuous")[0].select("rock", "slug", "t")
+    got = keeper.tables.current("hits")
+    assert got.count() == want.count() > 5 and got.exceptAll(want).count() == 0
+    assert keeper.tables.current("rocks").count() == 5
