@@ -34,12 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bolide.llm.shared import Words, numbered
+from bolide.llm.shared import Words, numbered, pieces
 from bolide.plans.settle import apart, settle
 
 WINDOW = 10
 SLOP = 2
 BLOCK_WORDS = 1_000_000
+# Text of a run of documents.
+RUN_BYTES = 8 << 20
 # A window that begins before its document does still has a number of that document.
 MARGIN = 1 << 24
 
@@ -89,7 +91,7 @@ def build_index(rows: DataFrame, vocabulary: pa.Array) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, "text", RUN_BYTES)):
             words = Words(batch["text"])
             term = pc.index_in(words.spelled(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
             of_test = term >= 0
