@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bolide.llm.shared import pieces, text_bytes
+from bolide.llm.shared import pieces, span_hashes, text_bytes
 from bolide.plans.settle import checkpoint_root, settle
 
 MAX_BITS = 16
@@ -40,7 +40,7 @@ STRIDE = 256
 # Text of a block's documents, in bytes.
 BLOCK_BYTES = 2 << 20
 # Spellings a worker process remembers.
-REMEMBERED = 700_000
+REMEMBERED = 2_500_000
 # New words that go to the tokenizer at a time.
 NEW_WORDS = 20_000
 
@@ -76,7 +76,7 @@ class Encoder:
 
     A byte-level BPE splits a text before each single space between visible characters, so
     the ids of a text are those of its space-led words in a row. Only words not met before
-    go to the tokenizer; they are known by their text. Texts with other white space
+    go to the tokenizer; they are found by a hash and compared letter by letter. Texts with other white space
     around a space are encoded whole.
     """
 
@@ -90,9 +90,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        # Per word met: where its ids and letters are. ``known``, sorted, leads from a hash to the first word with it.
+        self.first, self.letter = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.count, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.letters = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,22 +116,54 @@ class Encoder:
             out[i] = np.array(ids, np.uint32)
         return out
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """The place of each of the distinct ``words`` among the known ones; new ones are encoded."""
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
+    def _find(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each word, -1 for those not met; a word of equal hash but other letters is not it."""
+        found = np.full(len(hashes), -1, np.int64)
+        if not len(self.known):
+            return found
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        entry = self.entry[at]
+        like = np.flatnonzero((self.known[at] == hashes) & (self.size[entry] == size))
+        entry, n = entry[like], size[like]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = raw[np.repeat(start[like], n) + step] != self.letters[np.repeat(self.letter[entry], n) + step]
+        wrong = np.bincount(np.repeat(np.arange(len(like)), n), differ, len(like)) > 0
+        found[like[~wrong]] = entry[~wrong]
+        return found
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The entry of each of the distinct ``words``; new ones are encoded."""
+        raw, offsets = text_bytes(words)
+        start, size = offsets[:-1], np.diff(offsets)
+        hashes = span_hashes(raw, start, offsets[1:], [None])[0]
+        found = self._find(hashes, raw, start, size)
+        fresh = np.flatnonzero(found < 0)
+        if len(self.first) + len(fresh) > REMEMBERED:
             self._forget()
-            fresh = words
-        parts, counts = [self.pool], [self.count]
-        for i in range(0, len(fresh), NEW_WORDS):
-            got = self._of_words(fresh[i : i + NEW_WORDS])
-            counts.append(np.array([len(g) for g in got], np.int64))
+            fresh = np.arange(len(words))
+        if not len(fresh):
+            return found
+        spelled = words.take(pa.array(fresh)).to_pylist()
+        parts, counts = [self.pool], []
+        for i in range(0, len(spelled), NEW_WORDS):
+            got = self._of_words(spelled[i : i + NEW_WORDS])
+            counts += [len(g) for g in got]
             parts.append(np.concatenate(got))
-        if fresh:
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.pool, self.count = np.concatenate(parts), np.concatenate(counts)
-            self.first = np.cumsum(self.count) - self.count
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        count, n = np.array(counts, np.int64), size[fresh]
+        entry = len(self.first) + np.arange(len(fresh))
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
+        self.letter = np.concatenate([self.letter, len(self.letters) + np.cumsum(n) - n])
+        self.count = np.concatenate([self.count, count.astype(np.int32)])
+        self.size = np.concatenate([self.size, n.astype(np.int32)])
+        self.pool = np.concatenate(parts)
+        self.letters = np.concatenate([self.letters, raw[np.repeat(start[fresh], n) + step]])
+        every = np.concatenate([self.known, hashes[fresh]])
+        # Of words with one hash the first leads; others are encoded anew when they come again.
+        self.known, one = np.unique(every, return_index=True)
+        self.entry = np.concatenate([self.entry, entry.astype(np.int32)])[one]
+        found[fresh] = entry
+        return found
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -147,7 +181,7 @@ class Encoder:
             plain = ~whole[doc]
             spelled, doc = spelled.filter(pa.array(plain)), doc[plain]
         words = spelled.dictionary_encode()
-        number = self._numbers(words.dictionary.to_pylist())
+        number = self._numbers(words.dictionary)
         word = number[words.indices.to_numpy(zero_copy_only=False)] if len(doc) else number
         count = self.count[word]
         place = np.repeat(self.first[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())

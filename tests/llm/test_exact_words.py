@@ -54,14 +54,16 @@ def test_ids_are_the_tokenizers(spark, tokenizer, monkeypatch):
     huffman_ids.write_ids(docs, path, tokenizer, END)
     got = {r["doc_id"]: tuple(r)[1:] for r in huffman_ids.decoded(spark, path, "crc").collect()}
     assert got == want
-    monkeypatch.setattr(huffman_ids, "REMEMBERED", 5)
-    encoder = huffman_ids.Encoder(tokenizer)
+    monkeypatch.setattr(huffman_ids, "REMEMBERED", 40)
     import pyarrow as pa
 
-    for i in range(0, len(texts), 7):
-        ids, lengths = encoder.ids(pa.array(texts[i : i + 7], pa.string()))
-        assert ids.tolist() == [x for t in texts[i : i + 7] for x in plain.encode(t or "", add_special_tokens=False).ids]
-        assert lengths.sum() == len(ids)
+    for hashes in (huffman_ids.span_hashes, lambda raw, a, b, p: [np.zeros(len(a), np.uint64)]):
+        monkeypatch.setattr(huffman_ids, "span_hashes", hashes)  # the other: all words have one hash
+        encoder = huffman_ids.Encoder(tokenizer)
+        for i in range(0, len(texts), 7):
+            ids, lengths = encoder.ids(pa.array(texts[i : i + 7], pa.string()))
+            want = [x for t in texts[i : i + 7] for x in plain.encode(t or "", add_special_tokens=False).ids]
+            assert ids.tolist() == want and lengths.sum() == len(ids)
 
 
 def test_ids_of_an_empty_table(spark, tokenizer):
