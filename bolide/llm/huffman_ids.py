@@ -158,10 +158,14 @@ class Encoder:
         self.size = np.concatenate([self.size, n.astype(np.int32)])
         self.pool = np.concatenate(parts)
         self.letters = np.concatenate([self.letters, raw[np.repeat(start[fresh], n) + step]])
-        every = np.concatenate([self.known, hashes[fresh]])
         # Of words with one hash the first leads; others are encoded anew when they come again.
-        self.known, one = np.unique(every, return_index=True)
-        self.entry = np.concatenate([self.entry, entry.astype(np.int32)])[one]
+        new, one = np.unique(hashes[fresh], return_index=True)
+        at = np.searchsorted(self.known, new)
+        there = np.zeros(len(new), bool)
+        if len(self.known):
+            there = self.known[np.minimum(at, len(self.known) - 1)] == new
+        self.known = np.insert(self.known, at[~there], new[~there])
+        self.entry = np.insert(self.entry, at[~there], entry[one[~there]].astype(np.int32))
         found[fresh] = entry
         return found
 
