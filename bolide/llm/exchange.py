@@ -28,14 +28,32 @@ OUT = "bucket int, chunk long, keys binary, counts binary"
 BACK = "bucket int, chunk long, totals binary, distinct long, sums array<bigint>"
 
 
-def chunked(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """Write ``docs`` (``text`` and others) as rows: chunk, docs (array of the others), sizes, text."""
+def runs(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches of a task in runs with about ``size`` bytes of ``column`` (one row at least)."""
+    kept, total = [], 0
+    for batch in batches:
+        for part in pieces(batch, column, size):
+            n = int(text_bytes(part[column])[1][-1])
+            if kept and total + n > size:
+                yield pa.concat_batches(kept)
+                kept, total = [], 0
+            kept.append(part)
+            total += n
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def chunked(docs: DataFrame, size: int = CHUNK_BYTES, across: bool = False) -> DataFrame:
+    """Write ``docs`` (``text`` and others) as rows: chunk, docs (array of the others), sizes, text.
+
+    A chunk is a part of one Arrow batch or, with ``across``, of all that a task reads.
+    """
     others = [c for c in docs.columns if c != "text"]
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text", size):
+        for run in runs(batches, "text", size) if across else batches:
+            for part in pieces(run, "text", size):
                 raw, offsets = text_bytes(part["text"])
                 rows = pa.StructArray.from_arrays([part[c] for c in ["_row", *others]], ["_row", *others])
                 whole = pa.array([0, part.num_rows], pa.int32())
@@ -71,9 +89,9 @@ def texts(sizes: bytes, text: bytes) -> pa.Array:
     )
 
 
-def buckets_for(chunks: int) -> int:
-    """Key ranges, a power of two: one for about eight chunks."""
-    return max(16, 1 << (max(1, chunks // 8) - 1).bit_length())
+def buckets_for(chunks: int, share: int = 8) -> int:
+    """Key ranges, a power of two: one for about ``share`` chunks."""
+    return max(16, 1 << (max(1, chunks // share) - 1).bit_length())
 
 
 def key48(hashes: np.ndarray) -> np.ndarray:
