@@ -1,7 +1,8 @@
 """Cross-entropy difference of two matched bigram models (Moore-Lewis scoring).
 
 The target model is counted over the documents labelled good, the background model over all
-documents. Both are bigram models interpolated with smoothed unigrams over one shared
+documents; a labelled document is scored by the target model of the other labelled rows, so that
+it doesn't speak for itself. Both are bigram models interpolated with smoothed unigrams over one shared
 vocabulary: every distinct word of any document, and the end of a text. A token's difference is
 its loss under the target model less its loss under the background model, and a
 document's score the mean of its tokens' differences: the lower, the more like the target.
@@ -106,8 +107,19 @@ def counts(chunks: DataFrame, buckets: int) -> DataFrame:
     return tally(chunks.mapInArrow(keys, OUT), 2)
 
 
+def repeats(doc: np.ndarray, of_key: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Per token how often its document has its key, 0 outside ``where``."""
+    out = np.zeros(len(doc), np.int64)
+    at = np.flatnonzero(where)
+    if len(at):
+        pair = doc[at].astype(np.int64) * (int(of_key.max()) + 1) + of_key[at]
+        _, same, n = np.unique(pair, return_inverse=True, return_counts=True)
+        out[at] = n[same]
+    return out
+
+
 def losses(
-    word: np.ndarray, before: np.ndarray, pair: np.ndarray, total: float, vocabulary: int
+    word: np.ndarray, before: np.ndarray, pair: np.ndarray, total: np.ndarray | float, vocabulary: int
 ) -> np.ndarray:
     """-ln P of tokens from the counts of the word, of the word before, and of both in a row."""
     unigram = (word + ADDED) / (total + ADDED * vocabulary)
@@ -145,27 +157,32 @@ def scores(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     def score(chunk: pa.Table, back: pa.Table) -> pa.Table:
         rows = chunk["docs"][0].as_py()
+        marked = np.array([r["target"] for r in rows], bool)
         parts, word_keys, pair_keys_ = [], [], []
-        for _, _, column in parts_of(chunk["sizes"][0].as_py(), chunk["text"][0].as_py()):
+        for a, b, column in parts_of(chunk["sizes"][0].as_py(), chunk["text"][0].as_py()):
             every, at, doc = tokens(column)
             words, of_word = np.unique(key48(every), return_inverse=True)
             pairs, of_pair = np.unique(pair_keys(every, at), return_inverse=True)
             word_keys.append(words)
             pair_keys_.append(pairs)
-            parts.append((at.astype(np.int32), doc[at].astype(np.int32), of_word.astype(np.int32), of_pair.astype(np.int32)))
+            small = (x.astype(np.int32) for x in (at, doc, of_word, of_pair))
+            parts.append((*small, marked[a:b]))
         all_words, all_pairs = np.unique(np.concatenate(word_keys)), np.unique(np.concatenate(pair_keys_))
         word_totals, pair_totals = totals_of(back, 2, 0, buckets), totals_of(back, 2, buckets, buckets)
         if len(word_totals) != len(all_words) or len(pair_totals) != len(all_pairs):
             raise ValueError("a run's counts did not all come back")
         sizes, means = [], ([], [])
-        for (at, doc, of_word, of_pair), words, pairs in zip(parts, word_keys, pair_keys_):
+        for (at, doc, of_word, of_pair, own), words, pairs in zip(parts, word_keys, pair_keys_):
             word = word_totals[np.searchsorted(all_words, words)][of_word]
             pair = pair_totals[np.searchsorted(all_pairs, pairs)][of_pair]
-            n = np.bincount(doc)
+            n = np.bincount(doc[at])
             sizes.append(n)
-            for mean, column, total in zip(means, (1, 0), (target, everything)):
+            # The target model of a target document is that of the others.
+            word[:, 1] -= repeats(doc, of_word, own[doc])
+            pair[:, 1] -= repeats(doc[at], of_pair, own[doc[at]])
+            for mean, column, total in zip(means, (1, 0), ((target - n * own)[doc[at]], everything)):
                 loss = losses(word[at, column], word[at - 1, column], pair[:, column], total, vocabulary)
-                mean.append(np.bincount(doc, loss) / n)
+                mean.append(np.bincount(doc[at], loss) / n)
         of_target, of_all = np.concatenate(means[0]), np.concatenate(means[1])
         return pa.table(
             {

@@ -1,4 +1,8 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from bolide.llm import lm_difference, quality_mil, toxicity_fst
@@ -39,3 +43,47 @@ def test_differences_of_odd_rows(odd, labels):
     for r in rows:
         assert abs(r["score"] - (r["target_loss"] - r["background_loss"])) < 1e-9
     assert lm_difference.scores(odd.limit(0), labels).count() == 0
+
+
+def plain_differences(rows, targets, bigram=0.6, added=0.1):
+    """(tokens, target loss, background loss) of each row, counted in dicts."""
+    texts = [["<", *re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower()), ">"] for _, t in rows]
+    words, pairs = [Counter(t) for t in texts], [Counter(zip(t, t[1:])) for t in texts]
+    good = [i for i, (d, _) in enumerate(rows) if d in targets]
+    vocabulary = max(1, len(set().union(*words)) - 1)
+    out = []
+    for i, t in enumerate(texts):
+        found = [len(t) - 1]
+        for model in ([j for j in good if j != i], range(len(rows))):
+            of_word, of_pair = Counter(), Counter()
+            for j in model:
+                of_word.update(words[j])
+                of_pair.update(pairs[j])
+            total = sum(of_word.values()) - of_word["<"]
+            loss = 0
+            for before, word in zip(t, t[1:]):
+                unigram = (of_word[word] + added) / (total + added * vocabulary)
+                share = bigram if of_word[before] else 0
+                chance = share * of_pair[before, word] / max(1, of_word[before]) + (1 - share) * unigram
+                loss -= math.log(chance)
+            found.append(loss / (len(t) - 1))
+        out.append(tuple(found))
+    return out
+
+
+@pytest.mark.parametrize("run, piece, most", [(16 << 20, 4 << 20, 9), (400, 90, 1)])
+def test_differences_match_plain_counts(spark, monkeypatch, run, piece, most):
+    rng = random.Random(5)
+    vocabulary = ["the", "The", "cat", "dog", "sat", "\u00e9t\u00e9", "x1", "on", "mat"]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)))) for i in range(60)]
+    rows += [rows[3], rows[3], (70, None), (71, ""), (72, "long " * 500), (None, "the cat")]
+    targets = {3, 5, 8, 13, 72, 99}
+    monkeypatch.setattr(lm_difference, "RUN_BYTES", run)
+    marked, parts = lm_difference.marked, lm_difference.parts_of
+    monkeypatch.setattr(lm_difference, "marked", lambda docs, ids: marked(docs, ids, most))
+    monkeypatch.setattr(lm_difference, "parts_of", lambda sizes, text: parts(sizes, text, piece))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(t,) for t in [*targets, 3, None]], "doc_id long")
+    got = sorted(tuple(r)[1:4] for r in lm_difference.scores(docs, ids).collect())
+    for a, b in zip(got, sorted(plain_differences(rows, targets)), strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
