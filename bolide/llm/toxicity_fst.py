@@ -1,21 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer turns words into classes (insult, threat, target, negation,
-reported speech), the rest into nothing. Small transducers, one per phenomenon, read the
-classes of a clause: each keeps what it has seen so far and marks the matches that come
-then. Their composition (product) is one table: state x class -> state, path. A
-clause's matches, weighted by the lexicon, are summed by path ("insult, aimed at
-somebody, not negated, not reported"), and a logistic unit weighs the paths: so a word
-alone decides nothing, its clause does.
+A lexicon transducer turns words, commas and quotation marks into classes. Five small transducers
+read the classes of a clause, each for one phenomenon: ``insult`` and ``threat`` (bare, with an
+object, or vowed by a modal), ``target`` (an insult said of somebody, called after somebody, or bare),
+``negation`` (within a scope that words use up and a turn of the sentence ends) and ``report``
+(reported speech after its verb, or in quotation marks before or after it). Arcs carry a mark and
+a weight; where what comes later decides, a transducer has several arcs and those
+that guess wrong end nowhere. ``compose`` makes one machine of them, and of all its
+paths through a clause the heaviest counts. The lexicon's weights of the matches on it are summed by
+their marks ("insult, said of somebody, not negated, not reported"), and a logistic unit
+weighs these sums: so a word alone decides nothing, its clause does.
 
 Insults are the seed words and the words and stems (``word*``) that labelled
 documents show to be toxic; these are learned from one half of a bounded sample
-(``TRAIN_ROWS``, ``TRAIN_BYTES``), the weights of the paths from the other half. Documents
-are scored where they are read.
+(``TRAIN_ROWS``, ``TRAIN_BYTES``), the weights of the sums from the other half. All spellings of the sample
+are candidates; one is learned where its log-likelihood ratio would be chance in no more than one of a hundred
+samples, all candidates taken together. Documents are scored where they are read.
 
 Defined cases: a null or empty text matches nothing and gets the score of no match. Without
-labels of both kinds the seed lexicon and ``PRIOR`` path weights hold. Empty
-tables give no rows; repeated doc_ids are scored each.
+labels of both kinds the seed lexicon and ``PRIOR`` weights hold. Empty
+tables give no rows; repeated doc_ids are scored each. A clause ends at ``CLAUSE_END`` or
+after ``CLAUSE_WORDS`` words and marks, where the next one begins.
 """
 
 from __future__ import annotations
@@ -26,20 +31,26 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bolide.llm.shared import Words, held_out, labelled_sample, pieces, send
+from bolide.plans.settle import settle
 
 TRAIN_ROWS = 20_000
 TRAIN_BYTES = 64 << 20
 THRESHOLD = 0.5
 STEM_BYTES = [4, 5, 6, 7, 8]
-LEXICON_ROWS = 500
-CANDIDATE_ROWS = 20_000
 SEED_WEIGHT = 3.0
-
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
+# How often a sample without any toxic spelling may show one.
+CHANCE = 0.01
+CLAUSE_WORDS = 100
+# Words read at a time: bounds the table of choices.
+BATCH_WORDS = 1 << 15
+
+INSULT, THREAT, TARGET, NEGATION, REPORT, COPULA, MODAL, FILLER, TURN, COMMA, QUOTE, OTHER = CLASSES = range(12)
+MATCHES = (INSULT, THREAT)
 SEEDS = {
     INSULT: "idiot moron stupid dumb scum trash loser pathetic worthless disgusting clown fool "
     "imbecile vermin filth coward ugly",
@@ -48,60 +59,195 @@ SEEDS = {
     NEGATION: "not no never neither nor without isn aren wasn weren don doesn didn won",
     REPORT: "said says say wrote writes claimed claims called calls reported reports quoted quote told "
     "alleged according",
+    COPULA: "am are is was were be been being re",
+    MODAL: "will shall would should must can could may might ll gonna going wanna want",
+    FILLER: "a an the such so very really just total totally complete completely utter utterly absolute "
+    "all of both every each to that like personally t",
+    TURN: "but however although though because while whereas and or yet",
 }
 # A clause ends at these bytes.
 CLAUSE_END = np.isin(np.arange(256), [ord(c) for c in ".!?;\n"])
+CURLY = {"\u201c": '"', "\u201d": '"', "\u00ab": '"', "\u00bb": '"', "\u2019": "'"}
+SCOPE = 4
 
 
-@dataclass
-class Transducer:
-    """From ``state`` on reading ``class`` to a state; ``mark`` of a state goes with matches made in it."""
-
-    arcs: dict[tuple[int, int], int]
-    marks: list[str]
+@dataclass(frozen=True)
+class Arc:
+    """To a state, with a mark for the match read, what multiplies its weight, and a weight of its own."""
 
-    def step(self, state: int, read: int) -> int:
-        return self.arcs.get((state, read), state)
+    to: int
+    mark: str = ""
+    factor: float = 1.0
+    bonus: float = 0.0
 
 
-NEGATED = Transducer({(0, NEGATION): 1}, ["plain", "negated"])
-REPORTED = Transducer({(0, REPORT): 1}, ["direct", "reported"])
-AIMED = Transducer({(0, TARGET): 1}, ["unaimed", "aimed"])
-MATCHES = {INSULT: "insult", THREAT: "threat"}
+@dataclass(frozen=True)
+class Transducer:
+    """``arcs(state, class)`` from state 0 on; a clause may end in the ``accepting`` states."""
+
+    arcs: Callable[[int, int], list[Arc]]
+    accepting: tuple[int, ...]
+
+
+def _insult(state: int, read: int) -> list[Arc]:
+    return [Arc(0, "insult" if read == INSULT else "")]
+
+
+def _threat(state: int, read: int) -> list[Arc]:
+    """States: none, after a modal, before the object."""
+    if state == 2:
+        return [Arc(0)] if read == TARGET else [Arc(2)] if read == FILLER else []
+    if read == THREAT:
+        return [Arc(0, "threat bare", 0.5), Arc(2, "threat vowed", 2.0) if state else Arc(2, "threat object", 1.5)]
+    return [Arc(1 if read == MODAL or state and read == FILLER else 0)]
+
+
+def _target(state: int, read: int) -> list[Arc]:
+    """States: none, after a target, after what is said of it begins, before the target of an insult."""
+    if state == 3:
+        return [Arc(1)] if read == TARGET else [Arc(3)] if read == FILLER else []
+    if read == TARGET:
+        return [Arc(1)]
+    if read == INSULT:
+        own = [Arc(0, "bare"), Arc(1, "called", 1.5), Arc(2, "said", 2.0)][state]
+        return [own] if state else [own, Arc(3, "called", 1.5)]
+    if state and read in (COPULA, NEGATION):
+        return [Arc(2)]
+    return [Arc(state if read == FILLER or state == 1 and read == COMMA else 0)]
+
+
+def _negation(state: int, read: int) -> list[Arc]:
+    """States: how many words the scope still reaches."""
+    to = {NEGATION: SCOPE, TURN: 0, COMMA: 0, FILLER: state, QUOTE: state}.get(read, max(0, state - 1))
+    if read not in MATCHES:
+        return [Arc(to)]
+    return [Arc(to, "negated", 0.2) if state else Arc(to, "plain")]
+
+
+def _report(state: int, read: int) -> list[Arc]:
+    """States: direct, after a verb, its quotation, a quotation whose verb comes later, after that quotation."""
+    if read in MATCHES:
+        return [] if state == 4 else [Arc(state, "reported", 0.3) if state else Arc(0, "direct")]
+    if state == 0:
+        return [Arc(0), Arc(3)] if read == QUOTE else [Arc(1 if read == REPORT else 0)]
+    if state == 1:
+        return [Arc({QUOTE: 2, TURN: 0}.get(read, 1))]
+    if read == QUOTE:
+        return {2: [Arc(0)], 3: [Arc(4)], 4: []}[state]
+    if state == 4:
+        # Such a reading is right wherever it is possible.
+        return [Arc(1, bonus=1000.0)] if read == REPORT else [Arc(4)] if read in (COMMA, TARGET, FILLER, OTHER) else []
+    return [Arc(state)]
+
+
+PARTS = [
+    Transducer(_insult, (0,)),
+    Transducer(_threat, (0, 1)),
+    Transducer(_target, (0, 1, 2)),
+    Transducer(_negation, tuple(range(SCOPE + 1))),
+    Transducer(_report, (0, 1, 2)),
+]
 
 
 @dataclass
 class Grammar:
-    """The composition of transducers: ``go[state, class]`` and ``path[state, class]`` (-1: no match)."""
-
-    go: np.ndarray
-    path: np.ndarray
-    names: list[tuple[str, ...]]
+    """The composition: per class, tables of states x arcs (``to`` the number of states: no arc; ``path`` -1: no match)."""
+
+    to: list[np.ndarray]
+    factor: list[np.ndarray]
+    bonus: list[np.ndarray]
+    path: list[np.ndarray]
+    accepting: np.ndarray
+    names: list[str]
+
+    def read(self, kind: np.ndarray, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The path of each match on the heaviest way through each clause, -1 elsewhere; ``size`` of the clauses in order."""
+        path = np.full(len(kind), -1)
+        first = np.cumsum(size) - size
+        order = np.argsort(-size, kind="stable")
+        total = np.cumsum(size[order])
+        i = 0
+        while i < len(order):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BATCH_WORDS, "right")))
+            self._best(kind, weight, first[order[i:j]], size[order[i:j]], path)
+            i = j
+        return path
+
+    def _best(
+        self, kind: np.ndarray, weight: np.ndarray, first: np.ndarray, size: np.ndarray, path: np.ndarray
+    ) -> None:
+        states = len(self.accepting)
+        # From the end: the weight of the best way on from each state, and the arc that it takes.
+        onward = np.full((len(size), states + 1), -np.inf)
+        onward[:, :states][:, self.accepting] = 0
+        row = np.cumsum(size) - size
+        choice = np.zeros((int(size.sum()), states), np.uint8)
+        for back in range(int(size[0])):
+            n = int(np.searchsorted(-size, -back, "left"))  # clauses longer than ``back``
+            at = size[:n] - 1 - back
+            word = first[:n] + at
+            for k in np.unique(kind[word]):
+                of = np.flatnonzero(kind[word] == k)
+                ways = onward[of][:, self.to[k]] + self.bonus[k] + self.factor[k] * weight[word[of], None, None]
+                best = ways.argmax(2)
+                choice[(row[:n] + at)[of]] = best
+                onward[of, :states] = np.take_along_axis(ways, best[:, :, None], 2)[:, :, 0]
+        state = np.zeros(len(size), np.int64)
+        for step in range(int(size[0])):
+            n = int(np.searchsorted(-size, -step, "left"))
+            word, taken = first[:n] + step, choice[row[:n] + step, state[:n]]
+            for k in np.unique(kind[word]):
+                of = np.flatnonzero(kind[word] == k)
+                path[word[of]] = self.path[k][state[of], taken[of]]
+                state[of] = self.to[k][state[of], taken[of]]
 
 
 def compose(parts: list[Transducer]) -> Grammar:
-    states = list(product(*[range(len(p.marks)) for p in parts]))
-    number = {s: i for i, s in enumerate(states)}
-    go = np.zeros((len(states), len(SEEDS)), np.int64)
-    path = np.full(go.shape, -1, np.int64)
-    names: list[tuple[str, ...]] = []
-    for s, read in product(states, SEEDS):
-        go[number[s], read] = number[tuple(p.step(x, read) for p, x in zip(parts, s))]
-        if read in MATCHES:
-            path[number[s], read] = len(names)
-            names.append((MATCHES[read], *[p.marks[x] for p, x in zip(parts, s)]))
-    return Grammar(go, path, names)
-
-
-GRAMMAR = compose([NEGATED, REPORTED, AIMED])
-# Weights before anything is learned: by path, then bias. A negated or reported match counts little.
-PRIOR = np.array(
-    [
-        (2.0 if "aimed" in n else 1.5) * (0.2 if "negated" in n else 1) * (0.3 if "reported" in n else 1)
-        for n in GRAMMAR.names
-    ]
-    + [0.0, 0.0, 0.0, -3.0]
-)
+    """All reachable combinations of the parts' states; an arc for each combination of their arcs."""
+    number = {(0,) * len(parts): 0}
+    found: list[list[list[tuple[int, float, float, int]]]] = []
+    names: list[str] = []
+    states = list(number)
+    for state in states:  # grows while it is read
+        found.append([])
+        for read in CLASSES:
+            arcs = []
+            for way in product(*[p.arcs(x, read) for p, x in zip(parts, state)]):
+                to = tuple(a.to for a in way)
+                if to not in number:
+                    number[to] = len(states)
+                    states.append(to)
+                path = -1
+                if read in MATCHES:
+                    name = ", ".join(a.mark for a in way if a.mark)
+                    if name not in names:
+                        names.append(name)
+                    path = names.index(name)
+                factor = float(np.prod([a.factor for a in way]))
+                arcs.append((number[to], factor, sum(a.bonus for a in way), path))
+            found[-1].append(arcs)
+    tables = []
+    for read in CLASSES:
+        width = max(1, *(len(f[read]) for f in found))
+        none = (len(states), 0.0, 0.0, -1)
+        full = [f[read] + [none] * (width - len(f[read])) for f in found]
+        tables.append([np.array([[arc[c] for arc in row] for row in full]) for c in range(4)])
+    accepting = np.array([all(x in p.accepting for x, p in zip(s, parts)) for s in states])
+    to, factor, bonus, path = (list(t) for t in zip(*tables))
+    return Grammar(to, factor, bonus, path, accepting, names)
+
+
+GRAMMAR = compose(PARTS)
+MANNERS = {"threat bare": 0.3, "threat object": 2.0, "threat vowed": 2.5, "insult, bare": 1.5}
+
+
+def _prior(name: str) -> float:
+    manner = next((w for m, w in MANNERS.items() if name.startswith(m)), 2.0)
+    return manner * (0.2 if "negated" in name else 1) * (0.3 if "reported" in name else 1)
+
+
+# Weights before anything is learned: by path, then of the clauses, then bias.
+PRIOR = np.array([*map(_prior, GRAMMAR.names), 0.0, 0.0, 0.0, -3.0])
 
 
 @dataclass
@@ -145,46 +291,64 @@ def seed_lexicon() -> Lexicon:
 FEATURES = len(GRAMMAR.names) + 4
 
 
-def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Per text: weight matched on each path (log), matches a word, matched clauses, and 1."""
+def _read(column: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text; document, weight and path of each match; documents of clauses with a match."""
+    for curly, plain in CURLY.items():
+        column = pc.replace_substring(column, curly, plain)
     words = Words(column)
-    n, doc = len(words.per_doc), words.doc()
     kind, weight = lexicon.read(words)
-    ends = np.concatenate([[0], np.cumsum(CLAUSE_END[words.raw])])
-    at = np.flatnonzero(kind >= 0)
+    kind[kind < 0] = OTHER
+    signs = np.flatnonzero((words.raw == ord(",")) | (words.raw == ord('"')))
+    sign = np.where(words.raw[signs] == ord(","), COMMA, QUOTE)
+    cuts = np.sort(np.concatenate([np.flatnonzero(CLAUSE_END[words.raw]) + 1, words.offsets[1:-1]]))
     # Only clauses with something to match need a run of the grammar.
-    edge = np.ones(len(at), bool)
-    edge[1:] = (ends[words.start[at[1:]]] != ends[words.start[at[:-1]]]) | (doc[at[1:]] != doc[at[:-1]])
-    clause = np.cumsum(edge) - 1
-    first = np.flatnonzero(edge)
-    matched = np.bincount(clause, np.isin(kind[at], list(MATCHES)), minlength=len(first)) > 0
-    size = np.diff(np.concatenate([first, [len(at)]]))
-    out = np.zeros((n, FEATURES))
-    live = np.flatnonzero(matched)
-    live = live[np.argsort(-size[live], kind="stable")]
-    state = np.zeros(len(live), np.int64)
-    paths = len(GRAMMAR.names)
-    sums = np.zeros(n * paths)
-    step = 0
-    while len(live):
-        word = at[first[live] + step]
-        read = kind[word]
-        path = GRAMMAR.path[state, read]
-        hit = path >= 0
-        np.add.at(sums, doc[word[hit]] * paths + path[hit], weight[word[hit]])
-        state = GRAMMAR.go[state, read]
-        step += 1
-        left = size[live] > step
-        live, state = live[left], state[left]
-    sums = sums.reshape(n, paths)
-    out[:, :paths] = np.log1p(sums)
+    live = np.zeros(len(cuts) + 1, bool)
+    clause, of_sign = (np.searchsorted(cuts, x, "right") for x in (words.start, signs))
+    live[clause[np.isin(kind, MATCHES)]] = True
+    in_word, in_sign = live[clause], live[of_sign]
+    place = np.concatenate([words.start[in_word], signs[in_sign]])
+    order = np.argsort(place, kind="stable")
+    doc = np.searchsorted(words.offsets, place[order], "right") - 1
+    kind = np.concatenate([kind[in_word], sign[in_sign]])[order]
+    weight = np.concatenate([weight[in_word], np.zeros(in_sign.sum())])[order]
+    clause = np.concatenate([clause[in_word], of_sign[in_sign]])[order]
+    weight[~np.isin(kind, MATCHES)] = 0
+    edge = np.ones(len(clause), bool)
+    edge[1:] = clause[1:] != clause[:-1]
+    begin = np.flatnonzero(edge)
+    rank = np.arange(len(clause)) - np.repeat(begin, np.diff(np.append(begin, len(clause))))
+    begin = np.flatnonzero(rank % CLAUSE_WORDS == 0)
+    size = np.diff(np.append(begin, len(clause)))
+    matched = np.add.reduceat(np.isin(kind, MATCHES), begin) > 0 if len(begin) else np.zeros(0, bool)
+    kept = np.repeat(matched, size)
+    doc, kind, weight = doc[kept], kind[kept], weight[kept]
+    size = size[matched]
+    path = GRAMMAR.read(kind, weight, size)
+    hit = path >= 0
+    return words.per_doc, doc[hit], weight[hit], path[hit], doc[np.cumsum(size) - size]
+
+
+def matches(text: str, lexicon: Lexicon | None = None) -> list[str]:
+    """The marks of the matches in one text, in order."""
+    path = _read(pa.array([text], pa.string()), lexicon or seed_lexicon())[3]
+    return [GRAMMAR.names[p] for p in path]
+
+
+def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """Per text: weight matched on each path (log), matches a word, matched clauses, length where any, and 1."""
+    per_doc, doc, weight, path, clauses = _read(column, lexicon)
+    n, paths = len(per_doc), len(GRAMMAR.names)
+    sums = np.bincount(doc * paths + path, weight, n * paths).reshape(n, paths)
     total = sums.sum(1)
-    out[:, paths] = np.log1p(100 * total / np.maximum(words.per_doc, 1))
-    clauses = np.bincount(doc[at[first[matched]]], minlength=n) if len(first) else np.zeros(n)
-    out[:, paths + 1] = np.log1p(clauses)
-    out[:, paths + 2] = np.log1p(words.per_doc) * (total > 0)
-    out[:, paths + 3] = 1
-    return out
+    return np.column_stack(
+        [
+            np.log1p(sums),
+            np.log1p(100 * total / np.maximum(per_doc, 1)),
+            np.log1p(np.bincount(clauses, minlength=n)),
+            np.log1p(per_doc) * (total > 0),
+            np.ones(n),
+        ]
+    )
 
 
 @dataclass
@@ -217,11 +381,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Seeds, and the words and stems much more frequent in toxic than in clean documents.
-
-    Spellings of toxic documents are counted first; the ``CANDIDATE_ROWS`` that most
-    of these share are then counted in the clean ones.
-    """
+    """Seeds, and the words and stems much more frequent in toxic than in clean documents."""
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -256,20 +416,21 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     form = "spelled binary, stem int, n long"
     count = lambda df: df.groupBy("spelled", "stem").agg(F.sum("n").alias("n"))
     least = max(3, toxic // 250)
-    of_toxic = count(sample.filter("label = 1").select("text").mapInArrow(spellings, form))
-    candidates = of_toxic.filter(F.col("n") >= least).orderBy(F.desc("n"), "spelled", "stem")
-    rows = candidates.limit(CANDIDATE_ROWS).collect()
-    wanted = sample.sparkSession.createDataFrame(
-        [(bytes(r["spelled"]), r["stem"]) for r in rows], "spelled binary, stem int"
+    of_toxic = count(sample.filter("label = 1").select("text").mapInArrow(spellings, form)).filter(
+        F.col("n") >= least
     )
-    of_clean = sample.filter("label = 0").select("text").mapInArrow(spellings, form)
-    of_clean = count(of_clean.join(F.broadcast(wanted), ["spelled", "stem"], "left_semi")).collect()
-    other = {(bytes(r["spelled"]), r["stem"]): r["n"] for r in of_clean}
-    return lexicon_from(
-        [(bytes(r["spelled"]), r["stem"], r["n"], other.get((bytes(r["spelled"]), r["stem"]), 0)) for r in rows],
-        toxic,
-        clean,
+    of_clean = count(sample.filter("label = 0").select("text").mapInArrow(spellings, form))
+    both = settle(
+        of_toxic.join(of_clean.withColumnRenamed("n", "other"), ["spelled", "stem"], "left").fillna(0, ["other"]),
+        "spellings",
     )
+    # At most the sample's spellings, and of these only those that pass.
+    enough = np.log(max(1, both.count()) / CHANCE)
+    share = (F.col("n") + F.col("other")) / F.lit(float(toxic + clean))
+    in_toxic = F.col("n") * F.log(F.col("n") / (toxic * share))
+    in_clean = F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (clean * share))).otherwise(0.0)
+    rows = both.filter(in_toxic + in_clean >= float(enough)).collect()
+    return lexicon_from([(bytes(r["spelled"]), r["stem"], r["n"], r["other"]) for r in rows], toxic, clean)
 
 
 def lexicon_from(counts: list[tuple[bytes, int, int, int]], toxic: int, clean: int) -> Lexicon:
@@ -285,7 +446,7 @@ def lexicon_from(counts: list[tuple[bytes, int, int, int]], toxic: int, clean: i
     chosen.sort(key=lambda c: (-c[0], c[1], c[2], -c[3]))
     entries = dict(seed_lexicon().entries)
     stems: list[bytes] = []
-    for _, _, spelled, stem, weight in chosen[:LEXICON_ROWS]:
+    for _, _, spelled, stem, weight in chosen:
         if any(spelled.startswith(s) for s in stems):
             continue
         name = spelled.decode("utf-8", "surrogateescape") + "*" * stem

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from bolide.llm import lm_difference, quality_mil, toxicity_fst
 
@@ -87,3 +88,59 @@ def test_differences_match_plain_counts(spark, monkeypatch, run, piece, most):
     got = sorted(tuple(r)[1:4] for r in lm_difference.scores(docs, ids).collect())
     for a, b in zip(got, sorted(plain_differences(rows, targets)), strict=True):
         assert a == pytest.approx(b, abs=1e-9)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("I will kill you", ["threat vowed, plain, direct"]),
+        ("Kill them all!", ["threat object, plain, direct"]),
+        ("you kill time", ["threat bare, plain, direct"]),
+        ("I will not hurt you", ["threat object, negated, direct"]),
+        ("I do not mind you but you are an idiot", ["insult, said, plain, direct"]),
+        ("You are not an idiot", ["insult, said, negated, direct"]),
+        ("I don't think that you are an idiot", ["insult, said, negated, direct"]),
+        ("you are not clever, you fool", ["insult, called, plain, direct"]),
+        ("an idiot like you", ["insult, called, plain, direct"]),
+        ("the film has a clown. You saw it", ["insult, bare, plain, direct"]),
+        ("he said that you are an idiot", ["insult, said, plain, reported"]),
+        ("he said hello but you are an idiot", ["insult, said, plain, direct"]),
+        ("\u201cyou are an idiot\u201d, she said", ["insult, said, plain, reported"]),
+        ('the "book" fell, you fool', ["insult, called, plain, direct"]),
+        ("w " * 5000 + "you idiot", ["insult, called, plain, direct"]),
+        ("", []),
+    ],
+)
+def test_clauses_are_read_by_the_grammar(text, want):
+    assert toxicity_fst.matches(text) == want
+
+
+def all_readings(kinds, weights, states=(0,) * len(toxicity_fst.PARTS)):
+    """Weight and marks of every accepted way of the transducers side by side."""
+    if not kinds:
+        if all(s in p.accepting for s, p in zip(states, toxicity_fst.PARTS)):
+            yield 0.0, ()
+        return
+    ways = [()]
+    for part, state in zip(toxicity_fst.PARTS, states):
+        ways = [(*w, a) for w in ways for a in part.arcs(state, kinds[0])]
+    for way in ways:
+        here = weights[0] * math.prod(a.factor for a in way) + sum(a.bonus for a in way)
+        mark = ", ".join(a.mark for a in way if a.mark)
+        for weight, marks in all_readings(kinds[1:], weights[1:], tuple(a.to for a in way)):
+            yield here + weight, ((mark, *marks) if kinds[0] in toxicity_fst.MATCHES else marks)
+
+
+def test_composition_takes_the_heaviest_of_all_paths():
+    rng = np.random.default_rng(2)
+    size = rng.integers(1, 9, 400)
+    kind = rng.integers(0, len(toxicity_fst.CLASSES), size.sum())
+    weight = np.where(np.isin(kind, toxicity_fst.MATCHES), rng.uniform(1, 6, len(kind)), 0)
+    path = toxicity_fst.GRAMMAR.read(kind, weight, size)
+    assert ((path >= 0) == np.isin(kind, toxicity_fst.MATCHES)).all()
+    for end, n in zip(np.cumsum(size), size):
+        part = slice(end - n, end)
+        found = tuple(toxicity_fst.GRAMMAR.names[p] for p in path[part] if p >= 0)
+        readings = list(all_readings(kind[part].tolist(), weight[part].tolist()))
+        best = max(w for w, _ in readings)
+        assert found in {marks for w, marks in readings if w > best - 1e-9}
