@@ -13,9 +13,9 @@ weighs these sums: so a word alone decides nothing, its clause does.
 
 Insults are the seed words and the words and stems (``word*``) that labelled
 documents show to be toxic; these are learned from one half of a bounded sample
-(``TRAIN_ROWS``, ``TRAIN_BYTES``), the weights of the sums from the other half. All spellings of the sample
-are candidates; one is learned where its log-likelihood ratio would be chance in no more than one of a hundred
-samples, all candidates taken together. Documents are scored where they are read.
+(``TRAIN_ROWS``, ``TRAIN_BYTES``), the weights of the sums from the other half. All spellings of the sample's
+distinct texts are candidates; those learned are as many, by their log-likelihood ratio, as leave an expected share of ``CHANCE``
+that are toxic by chance (Benjamini and Hochberg's rule). Documents are scored where they are read.
 
 Defined cases: a null or empty text matches nothing and gets the score of no match. Without
 labels of both kinds the seed lexicon and ``PRIOR`` weights hold. Empty
@@ -25,6 +25,7 @@ after ``CLAUSE_WORDS`` words and marks, where the next one begins.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
@@ -43,8 +44,7 @@ TRAIN_BYTES = 64 << 20
 THRESHOLD = 0.5
 STEM_BYTES = [4, 5, 6, 7, 8]
 SEED_WEIGHT = 3.0
-# How often a sample without any toxic spelling may show one.
-CHANCE = 0.01
+CHANCE = 0.1
 CLAUSE_WORDS = 100
 # Words read at a time: bounds the table of choices.
 BATCH_WORDS = 1 << 15
@@ -382,6 +382,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Seeds, and the words and stems much more frequent in toxic than in clean documents."""
+    # Copies say nothing more about their words than one of them.
+    sample = sample.groupBy("text").agg(F.max("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -424,13 +426,32 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         of_toxic.join(of_clean.withColumnRenamed("n", "other"), ["spelled", "stem"], "left").fillna(0, ["other"]),
         "spellings",
     )
-    # At most the sample's spellings, and of these only those that pass.
-    enough = np.log(max(1, both.count()) / CHANCE)
     share = (F.col("n") + F.col("other")) / F.lit(float(toxic + clean))
     in_toxic = F.col("n") * F.log(F.col("n") / (toxic * share))
     in_clean = F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (clean * share))).otherwise(0.0)
-    rows = both.filter(in_toxic + in_clean >= float(enough)).collect()
-    return lexicon_from([(bytes(r["spelled"]), r["stem"], r["n"], r["other"]) for r in rows], toxic, clean)
+    # Beyond this ratio lie all whose probability by chance is below CHANCE: at most the sample's spellings.
+    likely = both.withColumn("gain", in_toxic + in_clean).filter(F.col("gain") >= _LEAST_GAIN)
+    rows = likely.orderBy(F.desc("gain"), "spelled", "stem").collect()
+    return lexicon_from(
+        [(bytes(r["spelled"]), r["stem"], r["n"], r["other"]) for r in rows[: learned(rows, both.count())]],
+        toxic,
+        clean,
+    )
+
+
+def by_chance(gain: float) -> float:
+    """The probability that a spelling without meaning has this log-likelihood ratio (chi squared, one degree)."""
+    return math.erfc(math.sqrt(max(0.0, gain)))
+
+
+# by_chance(1.3) is 0.107.
+_LEAST_GAIN = 1.3
+
+
+def learned(rows: list, candidates: int) -> int:
+    """How many of the ``rows``, by falling gain, are learned of so many candidates."""
+    fit = [i for i, r in enumerate(rows, 1) if by_chance(r["gain"]) * candidates <= CHANCE * i]
+    return max(fit, default=0)
 
 
 def lexicon_from(counts: list[tuple[bytes, int, int, int]], toxic: int, clean: int) -> Lexicon:
