@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bolide.functions import numeric as N
 from bolide.functions import position as P
 from bolide.operators import contention, fragments, history, matching, names
-from bolide.operators import pairing, quality, reports, solve, views, whatif
+from bolide.operators import pairing, quality, recorded, reports, solve, views, whatif
 from bolide.plans import sql_functions
 from bolide.plans.settle import settle
 from bolide.sources import records, tables
@@ -606,6 +606,36 @@ def changed_rows(spark: SparkSession, d: str) -> DataFrame:
     return history.changed_rows(before, tables.sped_up(before)).select("id", "v")
 
 
+def _recorded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Periods of rocks, slugs and hits; no hit is known when history begins."""
+    start = F.lit("1992-01-01 00:00:00").cast("timestamp_ntz")
+    r = rocks(spark, d).select(F.col("id").alias("rock"), F.col("mass"))
+    s = slugs(spark, d).select(F.col("id").alias("slug"), "v")
+    met = _once(spark, d, "hit-changes", lambda: tables.hit_changes(spark, d))
+    none = met.drop("changed_at", "seq", "gone").limit(0)
+
+    def periods(label: str, table: DataFrame, feed: DataFrame, key: str) -> DataFrame:
+        made = lambda: recorded.recorded_periods(table, feed, key, start)
+        return _once(spark, d, f"{label}-periods", made)
+
+    return (
+        periods("rock", r, tables.rock_changes(spark, d), "rock"),
+        periods("slug", s, tables.slug_changes(spark, d), "slug"),
+        periods("hit", none, met, "slug"),
+    )
+
+
+def recorded_world(spark: SparkSession, d: str) -> DataFrame:
+    """The hits known on one day, with rocks and slugs as they were known then."""
+    return recorded.world_at(*_recorded(spark, d), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def recorded_hits(spark: SparkSession, d: str) -> DataFrame:
+    """What each recorded hit's rock and slug went through while it stood."""
+    end = F.lit("2005-01-01 00:00:00").cast("timestamp_ntz")
+    return recorded.hit_records(*_recorded(spark, d), end)
+
+
 # --- quality ---------------------------------------------------------------
 
 
@@ -783,6 +813,8 @@ def queries() -> dict[str, Query]:
         "observe_octant_cascade": observe_octant_cascade,
         "impacts_cascade": impacts_cascade,
         "history_with_deletes": history_with_deletes,
+        "recorded_world": recorded_world,
+        "recorded_hits": recorded_hits,
         "validate_launch_times": validate_launch_times,
         "accepted_slugs": accepted_slugs,
     }

@@ -108,3 +108,43 @@ def sped_up(slugs_df: DataFrame, from_s: float | None = None) -> DataFrame:
     if from_s is not None:
         chosen = chosen & (F.col("fired_s") >= from_s)
     return slugs_df.withColumn("v", F.when(chosen, F.col("v") * 10).otherwise(F.col("v")))
+
+
+def rock_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The mass of a rock, recorded once a day on which lines of its supplier ship."""
+    daily = table(spark, folder, "lineitem").groupBy("l_suppkey", "l_shipdate")
+    return daily.agg(F.count(F.lit(1)).alias("lines"), F.max("l_quantity").alias("most")).select(
+        F.col("l_suppkey").alias("rock"),
+        F.col("l_shipdate").alias("changed_at"),
+        F.lit(0).cast("long").alias("seq"),
+        (1 + (F.col("lines") + F.floor("most")) % 9).alias("mass"),
+        F.lit(False).alias("gone"),
+    )
+
+
+def slug_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The speed of a slug, recorded with each order; pending orders take the slug away."""
+    return table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("slug"),
+        F.col("o_orderdate").alias("changed_at"),
+        F.col("o_orderkey").alias("seq"),
+        (1 + F.col("o_orderkey") % 20).cast("double").alias("v"),
+        (F.col("o_orderstatus") == "P").alias("gone"),
+    )
+
+
+def hit_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The rock that a slug hits, recorded once a day on which its lines ship; returns take it back."""
+    owners = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("slug")
+    )
+    lines = table(spark, folder, "lineitem").join(owners, "l_orderkey")
+    return (
+        lines.groupBy("slug", F.col("l_shipdate").alias("changed_at"))
+        .agg(
+            F.max(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("hit_no"),
+            F.max("l_suppkey").alias("rock"),
+            F.max(F.col("l_returnflag") == "R").alias("gone"),
+        )
+        .select("slug", "changed_at", F.col("hit_no").alias("seq"), "hit_no", "rock", "gone")
+    )

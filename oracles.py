@@ -763,6 +763,47 @@ union all select 'slug', slug, count(*) from candidates group by slug""",
         candidates("met", "rocks", "two"),
         then="""select two.v, arg_min(rock, row(t, rock)) as rock, min(t) as t from two left join met on slug = two.id
 group by two.v""",
+    )
+    feeds = (
+        ROCKS,
+        SLUGS,
+        """rock_feed as (select id as rock, timestamp '1991-12-31 23:00:00' as since, mass from rocks
+ union all select l_suppkey, l_shipdate, cast(1 + (count(*) + floor(max(l_quantity))) % 9 as bigint)
+ from lineitem group by all)""",
+        """slug_feed as (select id as slug, timestamp '1991-12-31 23:00:00' as since, -1 as seq, v, false as gone from slugs
+ union all select o_custkey, o_orderdate, o_orderkey, cast(1 + o_orderkey % 20 as double), o_orderstatus = 'P'
+ from orders)""",
+        """hit_feed as (select o_custkey as slug, l_shipdate as since, max(l_orderkey * 8 + l_linenumber) as hit_no,
+ max(l_suppkey) as rock, bool_or(l_returnflag = 'R') as gone from lineitem join orders on l_orderkey = o_orderkey
+ group by all)""",
+    )
+    # A replay of the feeds up to the day: the last version of each object, no periods.
+    replay = (
+        "select * from {0}_feed where since <= timestamp '1998-01-01 00:00:00'"
+        " qualify row_number() over (partition by {0} order by since desc{1}) = 1"
+    )
+    # The hits' feed is per slug.
+    hits_then = replay.format("hit", "").replace("partition by hit", "partition by slug")
+    out["recorded_world"] = sql(
+        *feeds,
+        then=f"""select h.slug, h.hit_no, h.rock, r.mass, s.v from ({hits_then}) h
+ join ({replay.format("rock", "")}) r using (rock) join ({replay.format("slug", ", seq desc")}) s on s.slug = h.slug
+ where not h.gone and not s.gone""",
+    )
+    out["recorded_hits"] = sql(
+        *feeds,
+        "r as (select *, coalesce(lead(since) over (partition by rock order by since), timestamp '2005-01-01') as til"
+        " from rock_feed)",
+        "s as (select *, coalesce(lead(since) over (partition by slug order by since, seq), timestamp '2005-01-01') as til"
+        " from slug_feed)",
+        "h as (select *, coalesce(lead(since) over (partition by slug order by since), timestamp '2005-01-01') as til"
+        " from hit_feed)",
+        """states as (select h.hit_no, h.slug, h.rock, r.mass, s.v, greatest(h.since, r.since, s.since) as a,
+ least(h.til, r.til, s.til) as b from h join r on r.rock = h.rock and r.since < h.til and h.since < r.til
+ join s on s.slug = h.slug where not h.gone and not s.gone)""",
+        then="""select hit_no, slug, rock, count(*) as states, cast(sum(date_diff('day', a, b)) as bigint) as days,
+ cast(sum(date_diff('day', a, b) * mass) as bigint) as mass_days, max(v) as top_v from states where a < b
+ group by hit_no, slug, rock""",
     )
     out["cascading_delete"] = sql(
         *world(),
