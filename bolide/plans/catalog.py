@@ -451,6 +451,22 @@ def fragment_collisions(spark: SparkSession, d: str) -> DataFrame:
     return met.select(F.col("rock").alias("fragment"), "slug", N.round_away(F.col("t"), 6).alias("t"))
 
 
+def fragment_collisions_aimed(spark: SparkSession, d: str) -> DataFrame:
+    """First slug met by each static piece, if a slug is fired at every piece as it breaks off."""
+    pieces = settle(fragments.as_rocks(_pieces(spark, d)), "pieces")
+    aimed = pieces.select(
+        "id",
+        "name",
+        F.lit(None).cast("string").alias("target"),
+        "fired_s",
+        F.col("b_theta").alias("theta"),
+        F.col("b_phi").alias("phi"),
+        (20 + F.col("id") % 7).cast("double").alias("v"),
+    )
+    met = matching.first_hit_per_rock(pieces, settle(aimed, "aimed"))
+    return met.select(F.col("rock").alias("fragment"), "slug", N.round_away(F.col("t"), 6).alias("t"))
+
+
 # --- views and reports -----------------------------------------------------
 
 
@@ -775,6 +791,7 @@ def queries() -> dict[str, Query]:
         "family_by_prefix": family_by_prefix,
         "static_fragments": static_fragments,
         "fragment_collisions": fragment_collisions,
+        "fragment_collisions_aimed": fragment_collisions_aimed,
         "rocks_at": lambda s, d: views.rocks_at(rocks(s, d), hits(s, d), AS_OF),
         "slugs_at": lambda s, d: views.slugs_at(slugs(s, d), hits(s, d), AS_OF),
         "all_objects": lambda s, d: flat_objects(

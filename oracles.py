@@ -562,6 +562,13 @@ from hits h join rocks r on h.rock = r.id where r.mass > 1""",
             *pieces(), candidates("met", "pieces", "slugs"), firsts("met1", "met"),
             then=f"select rock as fragment, slug, {away('t', 6)} as t from met1",
         ),
+        "fragment_collisions_aimed": sql(
+            *pieces(),
+            "aimed as materialized (select id, name, fired_s, b_theta as theta, b_phi as phi,"
+            " cast(20 + id % 7 as double) as v from pieces)",
+            candidates("hit", "pieces", "aimed"), firsts("hit1", "hit"),
+            then=f"select rock as fragment, slug, {away('t', 6)} as t from hit1",
+        ),
         "rocks_at": sql(*HITS, rocks_at(), then="select * from rocks_at"),
         "slugs_at": sql(*HITS, slugs_at(), then="select * from slugs_at"),
         "all_objects": sql(*HITS, *all_objects(), then="select * from all_objects"),
