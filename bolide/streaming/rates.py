@@ -11,6 +11,8 @@ PAIR_SCHEMA = (
     " a struct<obs_s:double,pos_r:double,pos_theta:double,pos_phi:double>,"
     " b struct<obs_s:double,pos_r:double,pos_theta:double,pos_phi:double>, pair_no long"
 )
+# 2024-01-01 00:00:00 UTC.
+EPOCH_MS = 1_704_067_200_000
 
 
 def request_rates(
@@ -89,3 +91,93 @@ def observation_pairs(observations: DataFrame) -> DataFrame:
         "append",
         GroupStateTimeout.NoTimeout,
     )
+
+
+def _pairs_in_order(slot_ms: int, idle_ms: int | None):
+    """Stateful processor; nested, so that it travels without this package."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    fields = ("obs_s", "pos_r", "pos_theta", "pos_phi")
+
+    class Pairs(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            row = "struct<obs_s:double,obs_no:long,pos_r:double,pos_theta:double,pos_phi:double>"
+            self.waiting = handle.getMapState("waiting", "slot long", f"seen array<{row}>")
+            columns = ", ".join(f"{f} double" for f in fields)
+            self.last = handle.getValueState("last", f"{columns}, lone boolean, pairs long, idle_at long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for part in rows:
+                for slot, some in part.groupby(part["at_ms"] // slot_ms):
+                    at = (int(slot),)
+                    # Plain tuples: the state's own rows can't be written back.
+                    seen = map(tuple, self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else ()
+                    new = some[["obs_s", "obs_no", *fields[1:]]].astype(object)
+                    new = new.where(new.notna(), None).itertuples(index=False, name=None)
+                    self.waiting.updateValue(at, ([*seen, *new],))
+                    end = (int(slot) + 1) * slot_ms
+                    self.handle.registerTimer(end)
+                    if idle_ms is not None:
+                        self.handle.registerTimer(end + idle_ms)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            at = (now // slot_ms - 1,)
+            *held, lone, pairs, idle_at = self.last.get() if self.last.exists() else (*[None] * 4, False, 0, None)
+            if idle_at is not None and idle_at <= now:
+                self.last.clear()
+                held, lone, pairs = [None] * 4, False, 0
+            if not self.waiting.containsKey(at):
+                return
+            made = []
+            for row in sorted(self.waiting.getValue(at)[0], key=lambda r: (r[0], r[1])):
+                found = (row[0], *row[2:])
+                if lone:
+                    made.append((dict(zip(fields, held)), dict(zip(fields, found)), pairs))
+                    held, lone, pairs = [None] * 4, False, pairs + 1
+                else:
+                    held, lone = list(found), True
+            self.waiting.removeKey(at)
+            self.last.update((*held, lone, pairs, None if idle_ms is None else now + idle_ms))
+            if made:
+                a, b, number = zip(*made)
+                named = {"name": [key[0]] * len(made), "fired_s": [key[1]] * len(made)}
+                yield pd.DataFrame({**named, "a": a, "b": b, "pair_no": number})
+
+        def close(self):
+            pass
+
+    return Pairs()
+
+
+def ordered_observation_pairs(
+    observations: DataFrame,
+    lateness: str = "5 minutes",
+    slot_s: int = 10,
+    idle_slots: int | None = None,
+) -> DataFrame:
+    """Pairs of each object's observations in the order of their times, whatever order they come in.
+
+    An observation waits in the slot of its time until the watermark, ``lateness`` behind the latest
+    one, has passed the slot's end. Then the slot's observations are paired in order of (obs_s, obs_no), and a lone
+    one waits for the next slot. So the pairs are those of ``operators.solve.observation_pairs``
+    on all observations that are not later than that; later ones are left out. A timer reads one slot of one object.
+    With ``idle_slots``, an object without observations in that many slots is forgotten, with its lone
+    observation, and counts its pairs from 0 if it comes back. ``obs_s`` must not be null; seconds count from 2024
+    on. The session needs the RocksDB state store.
+    """
+    at_ms = F.floor(F.col("obs_s") * 1000) + F.lit(EPOCH_MS)
+    timed = observations.withColumn("at_ms", at_ms).withColumn("at", F.timestamp_millis("at_ms"))
+    return (
+        timed.withWatermark("at", lateness)
+        .groupBy("name", "fired_s")
+        .transformWithStateInPandas(
+            _pairs_in_order(slot_s * 1000, None if idle_slots is None else idle_slots * slot_s * 1000),
+            PAIR_SCHEMA,
+            "Append",
+            "EventTime",
+        )
+    )

@@ -55,6 +55,59 @@ def test_pairs_and_latest_equal_batch(spark, tmp_path):
     assert spark.table("latest").exceptAll(want).count() == 0
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _ordered(spark, folder, parts, name, **options):
+    """Pairs of a stream that brings ``parts`` one by one, and the folder of its state."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    out = rates.ordered_observation_pairs(stream, **options).writeStream.outputMode("append").format("memory")
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        run(out.queryName(name).option("checkpointLocation", str(folder / "cp")))
+    finally:
+        spark.conf.set(STORE, before)
+    return spark.table(name), str(folder / "cp")
+
+
+def test_pairs_in_order_of_time(spark, tmp_path):
+    """Observations that come up to 30 seconds late, over many batches, pair up as in a batch."""
+    obs = tables.observations(tables.rocks(spark, FOLDER), shots=7).cache()
+    end = obs.limit(1).withColumns({"name": F.lit("end"), "obs_s": F.lit(1e6)})
+    arrival = F.floor((F.col("obs_s") + F.pmod(F.xxhash64("rock_id", "obs_no"), F.lit(30))) / 15)
+    last = obs.agg(F.max(arrival)).first()[0]
+    parts = [obs.filter(arrival == i) for i in range(last + 1)]
+    got, _ = _ordered(spark, tmp_path, [p for p in parts if not p.isEmpty()] + [end], "in_order", lateness="50 seconds")
+    got = got.select("name", "fired_s", "a.obs_s", F.col("b.obs_s").alias("next_s"), "b.pos_r", "pair_no")
+    rows = {}
+    for r in sorted(obs.collect(), key=lambda r: (r["obs_s"], r["obs_no"])):
+        rows.setdefault((r["name"], r["fired_s"]), []).append(r)
+    want = [
+        (*key, seen[i]["obs_s"], seen[i + 1]["obs_s"], seen[i + 1]["pos_r"], i // 2)
+        for key, seen in rows.items()
+        for i in range(0, len(seen) - 1, 2)
+    ]
+    assert len(want) == 30 and sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_idle_objects_leave_the_state(spark, tmp_path):
+    schema = "name string, fired_s double, obs_no long, obs_s double, pos_r double, pos_theta double, pos_phi double"
+    seen = lambda name, *times: [(name, 0.0, i, t, t, 0.0, None) for i, t in enumerate(times)]
+    first = seen("a", 1.0, 2.0, 3.0) + seen("b", 2.0) + seen(None, 5.0, 4.0)
+    later = seen("a", 500.0, 501.0) + seen("b", 38.0)
+    parts = [spark.createDataFrame(rows, schema) for rows in (first, later, seen("end", 1e6))]
+    got, kept = _ordered(spark, tmp_path, parts, "idle", lateness="1000 seconds", idle_slots=5)
+    # The lone third one of "a" was forgotten; "b" came back in time.
+    found = {(r["name"], r["a"]["obs_s"], r["b"]["obs_s"], r["pair_no"]) for r in got.collect()}
+    assert found == {("a", 1.0, 2.0, 0), ("a", 500.0, 501.0, 0), ("b", 2.0, 38.0, 0), (None, 4.0, 5.0, 0)}
+    state = spark.read.format("statestore").option("stateVarName", "last").load(kept)
+    assert state.count() == 0
+
+
 def test_versions_equal_batch(spark, tmp_path):
     feed = tables.changes(spark, FOLDER)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feed.schema.fields)
