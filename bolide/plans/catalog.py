@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from bolide.functions import position as P
 from bolide.operators import contention, fragments, history, matching, names
 from bolide.operators import pairing, quality, recorded, reports, solve, views, whatif
 from bolide.plans import sql_functions
-from bolide.plans.settle import settle
+from bolide.plans.settle import checkpoint_root, settle
 from bolide.sources import records, tables
+from bolide.streaming import counted, maintain
 
 EPOCH = "2024-01-01 00:00:00"
 AS_OF = 300.0
@@ -652,6 +654,20 @@ def recorded_hits(spark: SparkSession, d: str) -> DataFrame:
     return recorded.hit_records(*_recorded(spark, d), end)
 
 
+def kept_speed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs per target and speed, kept by signed changes: all come, some speed up, some go."""
+    before = slugs(spark, d)
+    after = tables.sped_up(before).filter(F.col("id") % 7 != 0)
+    view = counted.CountedView("slugs", {"target": "target", "speed": "cast(v as long)"}, {"ids": "id"})
+    path = f"{checkpoint_root(spark)}/bolide/counts-{uuid.uuid4().hex}"
+    kept = counted.CountedViews(spark, path, {"speeds": view}, {"slugs": maintain.SLUGS}, compact_every=2)
+    columns = before.columns
+    feeds = [before.withColumn("op", F.lit("add")), history.diff(before, after.select(*columns))]
+    for batch, feed in enumerate(feeds):
+        kept({"slugs": feed}, batch)
+    return kept.view("speeds")
+
+
 # --- quality ---------------------------------------------------------------
 
 
@@ -831,6 +847,7 @@ def queries() -> dict[str, Query]:
         "impacts_cascade": impacts_cascade,
         "history_with_deletes": history_with_deletes,
         "recorded_world": recorded_world,
+        "kept_speed_counts": kept_speed_counts,
         "recorded_hits": recorded_hits,
         "validate_launch_times": validate_launch_times,
         "accepted_slugs": accepted_slugs,

@@ -18,6 +18,7 @@ from bolide.operators.fragments import FAMILY, cascade, with_family
 from bolide.operators.history import diff
 from bolide.operators.pairing import candidate_edges
 from bolide.plans.settle import settle
+from bolide.streaming.counted import CountedViews
 from bolide.streaming.state import DeltaTables
 
 _TRACK = ", ".join(f"{c} double" for c in TRACK_FIELDS)
@@ -47,7 +48,10 @@ class HitKeeper:
         epoch_s: float = 0.0,
         buckets: int = 16,
         compact_every: int = 16,
+        views: CountedViews | None = None,
     ):
+        """``views`` are kept along, over the feeds ``hits`` and ``fragments``."""
+        self.views = views
         schemas = {"rocks": ROCKS, "slugs": SLUGS, "hits": HITS, "fragments": FRAGMENTS}
         keys = {"rocks": "id", "slugs": "id", "hits": "rock", "fragments": "id"}
         self.tables = DeltaTables(spark, path, schemas, keys, buckets, compact_every)
@@ -81,6 +85,7 @@ class HitKeeper:
             )
             feeds["hits"] = diff(old["hits"], hits.select("rock", "slug", "t"))
             feeds["fragments"] = diff(old["fragments"], fragments.select(*FAMILY))
+        written = {}
         for name, feed in feeds.items():
             # The hits' feed is kept for readers, the other only until its delta is written.
             where = f"{self.path}/{name}-feed/batch={batch_id}"
@@ -88,6 +93,9 @@ class HitKeeper:
             feed = self.spark.read.schema(feed.schema).parquet(where)
             if since is not None:
                 tables.write(name, batch_id, feed.filter("op = 'add'").drop("op"), feed.filter("op = 'retract'"))
+            written[name] = feed
+        if self.views is not None:
+            self.views(written, batch_id)
         tables.commit(batch_id)
 
     def feed(self, batch: int | None = None) -> DataFrame:

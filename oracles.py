@@ -811,6 +811,11 @@ group by two.v""",
         then="""select hit_no, slug, rock, count(*) as states, cast(sum(date_diff('day', a, b)) as bigint) as days,
  cast(sum(date_diff('day', a, b) * mass) as bigint) as mass_days, max(v) as top_v from states where a < b
  group by hit_no, slug, rock""",
+    )
+    out["kept_speed_counts"] = sql(
+        SLUGS,
+        then="""select target, cast(case when id % 10 = 0 then v * 10 else v end as bigint) as speed, count(*) as n,
+ cast(sum(id) as bigint) as ids from slugs where id % 7 <> 0 group by all""",
     )
     out["cascading_delete"] = sql(
         *world(),
