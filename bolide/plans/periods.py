@@ -57,7 +57,8 @@ def overlap_join(
     nodes of a tree over time, at most 2 * (BASE - 1) a level, and each beginning goes to the
     node above it on every level, so a pair meets in exactly one node by an equi-join. All that meets
     in a node overlaps, but for the first and last bin of a period: a hot key costs
-    what it yields, and its rows spread over its nodes. ``bin_of`` maps a time to a whole number that never falls
+    what it yields, and its rows spread over its nodes. Neither side is broadcast: the size of a file
+    says little about its rows after they are cut. ``bin_of`` maps a time to a whole number that never falls
     as time goes on. The result has the period that both share. Empty periods and null
     keys meet nothing; an empty side gives an empty result.
     """
@@ -92,7 +93,7 @@ def overlap_join(
         covers = side(lying, "c", _nodes_over(begin.cast("long"), end.cast("long"), levels))
         inside = within & (F.col("_c_to").isNull() | (F.col("_p_from") < F.col("_c_to")))
         return (
-            points.join(covers, [*keys, "_node"])
+            points.hint("merge").join(covers, [*keys, "_node"])
             .filter(inside)
             .withColumn("valid_from", F.col("_p_from"))
             .withColumn("valid_to", F.least("_p_to", "_c_to"))

@@ -72,3 +72,12 @@ def test_opening_versions_hold_until_the_first_change(spark):
     assert sorted((tuple(r) for r in got.select("rock", "mass", "valid_from", "valid_to").collect()), key=repr) == sorted(
         [(1, 4, before, day(3)), (1, 5, day(3), day(5)), (1, 7, day(9), None), (2, 8, before, None)], key=repr
     )
+
+
+def test_no_side_is_broadcast(spark):
+    """Cut periods are many times the table they come from, however small that looks."""
+    rows = [(1, "x", 0.0, 9.0)]
+    left = spark.createDataFrame(rows, f"k long, a string, {SPAN}")
+    right = spark.createDataFrame(rows, f"k long, b string, {SPAN}")
+    plan = periods.overlap_join(left, right, ["k"], _bins(7.0))._jdf
+    assert "BroadcastHashJoin" not in plan.queryExecution().executedPlan().toString()
