@@ -36,7 +36,8 @@ from bolide.functions.position import (
     theta_bin,
     track,
 )
-from bolide.plans.skew import small
+from bolide.plans.settle import settle
+from bolide.plans.skew import id_chunk, ranked, small
 
 # No bin has this number, so it marks an angle left out of the key.
 _ANY = 9999
@@ -44,6 +45,9 @@ _ANY = 9999
 _SWEEP = 128
 # Candidate pairs of one cell that one task may test; cells above are salted.
 _CELL_PAIRS = 4_000_000
+# Object pairs that one task forms from class edges, and members of a class in one list; both are spread by count.
+TASK_PAIRS = 1 << 23
+LIST = 1 << 10
 # Rungs of the radius ladder below the widest interval.
 _RUNGS = 24
 
@@ -480,6 +484,56 @@ def expand(edges: DataFrame, rocks: DataFrame, slugs: DataFrame, *others: str) -
     return edges.join(r, "r_launch").join(s, "s_launch").select("rock", "slug", "t", *others)
 
 
+def in_lists(placed: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """Members (id, place) per ``keys``, in lists of at most LIST."""
+    part = F.floor((F.col("place") - 1) / LIST).alias(f"{p}_part")
+    return placed.groupBy(*keys, part).agg(F.collect_list(F.struct("id", "place")).alias(f"{p}_list"))
+
+
+def member_lists(objects: DataFrame, p: str) -> DataFrame:
+    """Classes with their members and the place of each in its class by id, in lists."""
+    members = objects.select("id", F.col("launch").alias(f"{p}_launch"))
+    placed = ranked(members, [f"{p}_launch"], ["id"], id_chunk("id"), "place")
+    return in_lists(placed, [f"{p}_launch"], p)
+
+
+def tasks_for(edges: DataFrame) -> int:
+    """Tasks that class edges take to be made into object pairs, from counts alone."""
+    pairs = edges.agg(F.sum(F.col("r_n").cast("double") * F.col("s_n"))).first()[0] or 0.0
+    return int(pairs // TASK_PAIRS) + 1
+
+
+def spread(blocks: DataFrame, tasks: int) -> DataFrame:
+    """Object pairs of class edges with lists of both sides' members, dealt by block over ``tasks`` tasks.
+
+    A block has at most LIST x LIST pairs, so tasks are even however large a class is, and pairs are formed after the last shuffle.
+    """
+    rest = [c for c in blocks.columns if c not in ("r_list", "s_list")]
+    return (
+        blocks.repartition(tasks, "r_launch", "s_launch", "r_part", "s_part")
+        .select(*rest, "s_list", F.explode("r_list").alias("_r"))
+        .select(*rest, "_r", F.explode("s_list").alias("_s"))
+        .withColumns(
+            {
+                "rock": F.col("_r.id"),
+                "slug": F.col("_s.id"),
+                "rock_place": F.col("_r.place"),
+                "slug_place": F.col("_s.place"),
+            }
+        )
+        .drop("_r", "_s")
+    )
+
+
+def expand_evenly(edges: DataFrame, rocks: DataFrame, slugs: DataFrame, *others: str) -> DataFrame:
+    """As ``expand``, for written edges of however many pairs."""
+    tasks = tasks_for(edges)
+    if tasks == 1:
+        return expand(edges, rocks, slugs, *others)
+    blocks = edges.join(member_lists(rocks, "r"), "r_launch").join(member_lists(slugs, "s"), "s_launch")
+    return spread(blocks, tasks).select("rock", "slug", "t", *others)
+
+
 def candidate_edges(
     rocks: DataFrame, slugs: DataFrame, budget: float | None = None
 ) -> DataFrame:
@@ -492,7 +546,7 @@ def candidate_edges(
     rocks = with_launch(rocks, TRACK_FIELDS, fold)
     slugs = with_launch(slugs, SHOT_FIELDS, fold)
     found = edges_between(rocks, slugs, Slice(scope.begin, None), scope, limit)
-    return expand(found, rocks, slugs) if fold else single_pairs(found)
+    return expand_evenly(settle(found, "edges"), rocks, slugs) if fold else single_pairs(found)
 
 
 def single_pairs(edges: DataFrame) -> DataFrame:
