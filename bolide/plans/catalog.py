@@ -65,11 +65,6 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return pairing.candidate_edges(rocks(spark, d), slugs(spark, d))
 
 
-def settled_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates as a table: ranks and counts read them several times."""
-    return _once(spark, d, "candidates", lambda: candidates(spark, d))
-
-
 def firsts(spark: SparkSession, d: str) -> DataFrame:
     return _once(
         spark, d, "firsts", lambda: matching.first_hit_per_rock(rocks(spark, d), slugs(spark, d))
@@ -787,9 +782,9 @@ def queries() -> dict[str, Query]:
         "first_rock_per_slug_distinct_on": lambda s, d: contention.earliest_rock_per_slug(
             firsts(s, d)
         ),
-        "contention_counts": lambda s, d: contention.contention_counts(settled_candidates(s, d)),
-        "contention_ranks": lambda s, d: contention.contention_ranks(settled_candidates(s, d)),
-        "mutual_first": lambda s, d: contention.mutual_first(settled_candidates(s, d)),
+        "contention_counts": lambda s, d: contention.contention_counts_of(rocks(s, d), slugs(s, d)),
+        "contention_ranks": lambda s, d: contention.contention_ranks_of(rocks(s, d), slugs(s, d)),
+        "mutual_first": lambda s, d: contention.mutual_first_of(rocks(s, d), slugs(s, d)),
         "struct_any_not_null": struct_any_not_null,
         "what_if_slug": what_if_slug,
         "what_if_rock": what_if_rock,

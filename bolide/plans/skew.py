@@ -50,6 +50,34 @@ def ranked(
     )
 
 
+def total_before(
+    df: DataFrame, keys: list[str], order: str, chunk: Column, value: str, out: str
+) -> DataFrame:
+    """Sum of ``value`` over the key's rows of lower ``order``, in pieces as ``ranked``.
+
+    ``order`` must not repeat within a key.
+    """
+    pieces = df.withColumn("_chunk", chunk)
+    renamed, same = _matches(keys)
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        pieces.groupBy(*keys, "_chunk")
+        .agg(F.sum(value).alias("_n"))
+        .select(
+            *renamed,
+            F.col("_chunk").alias("_c"),
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        )
+    )
+    near = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        pieces.withColumn("_local", F.coalesce(F.sum(value).over(near), F.lit(0)))
+        .join(offsets, same & F.col("_chunk").eqNullSafe(F.col("_c")))
+        .withColumn(out, F.col("_local") + F.col("_offset"))
+        .select(*df.columns, out)
+    )
+
+
 def id_chunk(name: str, width: int = 1 << 20) -> Column:
     """Chunk of a unique integer id: at most ``width`` rows per chunk."""
     return F.floor(F.col(name) / F.lit(width))
