@@ -8,7 +8,8 @@ A constant share of the nodes goes in every round, on chains as on stars. What i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bolide.plans.settle import settle
@@ -39,13 +40,14 @@ def _roots(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b: long), with one label per component."""
-    live = settle(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    spark, labels = edges.sparkSession, None
-    while (n := live.count()) > 0:
-        if n <= few:
-            rows = _roots([(r["a"], r["b"]) for r in live.collect()])
-            points = spark.createDataFrame(rows, "a long, to long")
-            return _moved(labels, points)
+    live, labels = edges.filter("a <> b").select("a", "b").distinct(), None
+    while True:
+        # One more than ``few`` tells whether it is the rest.
+        rows = live.limit(few + 1).collect()
+        if len(rows) <= few:
+            return _moved(labels, _points(edges.sparkSession, _roots([(r["a"], r["b"]) for r in rows])))
+        if labels is None:
+            live = settle(live, "edges")
         mirrored = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = F.least(F.min(_order("b")), F.min(_order("a"))).getField("node")
         points = settle(mirrored.groupBy("a").agg(to.alias("to")), "points")
@@ -55,9 +57,12 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
         between = live.join(at_a, "a").join(at_b, "b").filter("to_a <> to_b")
         live = between.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
         live = settle(live.distinct(), "edges")
-    if labels is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels
+
+
+def _points(spark: SparkSession, rows: list[tuple[int, int]]) -> DataFrame:
+    """Few rows as a table that is part of the plan, so that no Python task makes it."""
+    node, to = ([r[i] for r in rows] for i in (0, 1))
+    return spark.createDataFrame(pa.table({"a": pa.array(node, "int64"), "to": pa.array(to, "int64")}))
 
 
 def _moved(labels: DataFrame | None, points: DataFrame) -> DataFrame:

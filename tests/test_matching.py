@@ -222,3 +222,10 @@ def test_ties_in_one_pass(spark, monkeypatch, seed):
     monkeypatch.setattr(matching, "_round", unwanted)
     monkeypatch.setattr(matching, "_class_hits", unwanted)
     assert rows(matching.ordered_matching(r, s, budget=100.0, tail=0)) == want
+
+
+def test_few_labels_need_no_python_task(spark):
+    labels = components.components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"))
+    plan = labels._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+    assert len({r.label for r in labels.collect() if r.node in (1, 2, 3)}) == 1
