@@ -24,7 +24,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,9 @@ BLOCKS = (
 )
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+# Bytes of visible characters, and those that begin a character which is no white space (no first bytes of such).
+_SHOWN = (np.arange(256) > 32) & (np.arange(256) < 127)
+_LEADS = _SHOWN | (np.arange(256) >= 0xC3) & ~np.isin(np.arange(256), [0xE1, 0xE2, 0xE3])
 
 
 def _apart(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -71,11 +74,30 @@ def _apart(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return counts[offsets[1:]] > counts[offsets[:-1]]
 
 
+class _Grown:
+    """Numbers in a row that more are put after; room is doubled, so that few are copied again."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.n + len(more)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : end] = more
+        self.n = end
+
+
 class Encoder:
     """The tokenizer over whole texts, remembering what it gave for a word.
 
-    A byte-level BPE splits a text before each single space between visible characters, so
-    the ids of a text are those of its space-led words in a row. Only words not met before
+    A byte-level BPE splits a text before each single space between visible characters, and around each
+    single line end between them, so the ids of a text are those of its space-led words and line ends in a row. Only words not met before
     go to the tokenizer; they are found by a hash and compared letter by letter. Texts with other white space
     around a space are encoded whole.
     """
@@ -91,30 +113,32 @@ class Encoder:
 
     def _forget(self) -> None:
         # Per word met: where its ids and letters are. ``known``, sorted, leads from a hash to the first word with it.
-        self.first, self.letter = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.count, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.pool, self.letters = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.first, self.letter = _Grown(np.int64), _Grown(np.int64)
+        self.count, self.size = _Grown(np.int32), _Grown(np.int32)
+        self.pool, self.letters = _Grown(np.uint32), _Grown(np.uint8)
         self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of single words. Many share a call, with line ends between them."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        plain = [i for i, w in enumerate(words) if "\n" not in w]
-        joined = [plain[a : a + 500] for a in range(0, len(plain), 500)]
-        if len(self.line_end) != 1:
-            joined = [[i] for i in plain]
-        for run, ids in zip(joined, self._encode(["\n".join(words[i] for i in run) for run in joined])):
-            ids = np.array(ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.line_end[0]) if len(run) > 1 else np.zeros(0, np.int64)
-            for i, a, b in zip(run, [0, *(cuts + 1)], [*cuts, len(ids)]):
-                out[i] = ids[a:b]
-        rest = [i for i, w in enumerate(words) if "\n" in w]
-        for i, ids in zip(rest, self._encode([words[i] for i in rest])):
-            out[i] = np.array(ids, np.uint32)
-        return out
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of single words, and for each where its ids begin and how many it has.
+
+        Words without line ends share calls, with line ends between them.
+        """
+        shared = [] if len(self.line_end) != 1 else [i for i, w in enumerate(words) if "\n" not in w]
+        joined = ["\n".join([words[i] for i in shared[a : a + 500]]) for a in range(0, len(shared), 500)]
+        parts = [np.array([*ids, *self.line_end], np.uint32) for ids in self._encode(joined)]
+        alone = [i for i, w in enumerate(words) if "\n" in w] if len(self.line_end) == 1 else range(len(words))
+        got = self._encode([words[i] for i in alone])
+        ids = np.concatenate([*parts, np.fromiter(chain.from_iterable(got), np.uint32)])
+        begin, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        # A line end after each shared word; the others come last.
+        ends = np.flatnonzero(ids[: sum(map(len, parts))] == self.line_end[0])
+        begin[shared], count[shared] = np.append(-1, ends[:-1]) + 1, np.diff(ends, prepend=-1) - 1
+        sizes = np.array([len(g) for g in got], np.int64)
+        begin[alone], count[alone] = len(ids) - sizes.sum() + np.cumsum(sizes) - sizes, sizes
+        return ids, begin, count
 
     def _find(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The entry of each word, -1 for those not met; a word of equal hash but other letters is not it."""
@@ -123,10 +147,10 @@ class Encoder:
             return found
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         entry = self.entry[at]
-        like = np.flatnonzero((self.known[at] == hashes) & (self.size[entry] == size))
+        like = np.flatnonzero((self.known[at] == hashes) & (self.size.room[entry] == size))
         entry, n = entry[like], size[like]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        differ = raw[np.repeat(start[like], n) + step] != self.letters[np.repeat(self.letter[entry], n) + step]
+        differ = raw[np.repeat(start[like], n) + step] != self.letters.room[np.repeat(self.letter.room[entry], n) + step]
         wrong = np.bincount(np.repeat(np.arange(len(like)), n), differ, len(like)) > 0
         found[like[~wrong]] = entry[~wrong]
         return found
@@ -143,21 +167,18 @@ class Encoder:
             fresh = np.arange(len(words))
         if not len(fresh):
             return found
-        spelled = words.take(pa.array(fresh)).to_pylist()
-        parts, counts = [self.pool], []
-        for i in range(0, len(spelled), NEW_WORDS):
-            got = self._of_words(spelled[i : i + NEW_WORDS])
-            counts += [len(g) for g in got]
-            parts.append(np.concatenate(got))
-        count, n = np.array(counts, np.int64), size[fresh]
+        n = size[fresh]
         entry = len(self.first) + np.arange(len(fresh))
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
-        self.letter = np.concatenate([self.letter, len(self.letters) + np.cumsum(n) - n])
-        self.count = np.concatenate([self.count, count.astype(np.int32)])
-        self.size = np.concatenate([self.size, n.astype(np.int32)])
-        self.pool = np.concatenate(parts)
-        self.letters = np.concatenate([self.letters, raw[np.repeat(start[fresh], n) + step]])
+        self.letter.add(len(self.letters) + np.cumsum(n) - n)
+        self.size.add(n)
+        self.letters.add(raw[np.repeat(start[fresh], n) + step])
+        spelled = words.take(pa.array(fresh)).to_pylist()
+        for i in range(0, len(spelled), NEW_WORDS):
+            got, begin, count = self._of_words(spelled[i : i + NEW_WORDS])
+            self.first.add(len(self.pool) + begin)
+            self.count.add(count)
+            self.pool.add(got)
         # Of words with one hash the first leads; others are encoded anew when they come again.
         new, one = np.unique(hashes[fresh], return_index=True)
         at = np.searchsorted(self.known, new)
@@ -177,8 +198,12 @@ class Encoder:
         begins = raw == 32
         filled = offsets[:-1][np.diff(offsets) > 0]
         begins[filled] = True
+        # Seen across the end of a text, which is a cut anyway, this is right as well.
+        line = np.flatnonzero(raw[1:-1] == 10) + 1
+        line = line[_SHOWN[raw[line - 1]] & _LEADS[raw[line + 1]]]
+        begins[line] = begins[line + 1] = True
         start = np.flatnonzero(begins)
-        doc = np.searchsorted(offsets, start, "right") - 1
+        doc = np.repeat(np.arange(n), np.diff(np.searchsorted(start, offsets)))
         at = np.append(start, len(raw)).astype(np.int64)
         spelled = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(raw)])
         if whole.any():
@@ -187,9 +212,9 @@ class Encoder:
         words = spelled.dictionary_encode()
         number = self._numbers(words.dictionary)
         word = number[words.indices.to_numpy(zero_copy_only=False)] if len(doc) else number
-        count = self.count[word]
-        place = np.repeat(self.first[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        numbers, lengths = self.pool[place], np.bincount(doc, count, n).astype(np.int64)
+        count = self.count.room[word]
+        place = np.repeat(self.first.room[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        numbers, lengths = self.pool.room[place], np.bincount(doc, count, n).astype(np.int64)
         if not whole.any():
             return numbers, lengths
         parts = np.split(numbers, np.cumsum(lengths)[:-1])

@@ -66,6 +66,20 @@ def test_ids_are_the_tokenizers(spark, tokenizer, monkeypatch):
             assert ids.tolist() == want and lengths.sum() == len(ids)
 
 
+def test_line_ends_between_visible_characters_cut_words(tokenizer):
+    import pyarrow as pa
+
+    texts = ["a.\nOne two.\nOne", "two.\n", "\nOne", "é\nOne", "two.\n\nOne", "two.\n　One", None]
+    encoder = huffman_ids.Encoder(tokenizer)
+    ids, lengths = encoder.ids(pa.array(texts))
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and lengths.tolist() == [len(w) for w in want]
+    again = huffman_ids.Encoder(tokenizer)
+    again.ids(pa.array(texts[:1]))
+    # "a.", line end, "One", " two."
+    assert len(again.first) == 4
+
+
 def test_ids_of_an_empty_table(spark, tokenizer):
     docs = spark.createDataFrame([], "doc_id long, text string")
     path = huffman_ids.new_folder(spark)
