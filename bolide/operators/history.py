@@ -23,9 +23,9 @@ def history_intervals(
 
     Changes for which ``deleted`` holds end the version before them and are none themselves.
     """
-    spans = with_next(
-        changes.withColumn("valid_from", F.col(at)), [key], [at, seq], month_of(F.col(at)), at, "valid_to"
-    ).drop(at)
+    rest = [c for c in changes.columns if c not in (at, "valid_from")]
+    spans = with_next(changes.select(*rest, at), [key], [at, seq], month_of(F.col(at)), at, "valid_to")
+    spans = spans.withColumnRenamed(at, "valid_from")
     return spans if deleted is None else spans.filter(~F.coalesce(deleted, F.lit(False)))
 
 

@@ -100,22 +100,26 @@ def with_next(
 
     Rows look ahead inside their (key, chunk); the last row of a chunk takes the
     first value of the key's next chunk from one small row per chunk. ``value``
-    must not be null.
+    must not be null. Key and chunk are one struct, in which nulls are equal, so rows that were dealt out and sorted
+    to look ahead meet these small rows where they are.
     """
-    pieces = df.withColumn("_chunk", chunk)
-    renamed, same = _matches(keys)
+    piece = F.struct(*keys, "_chunk").alias("_piece")
     ahead = W.partitionBy(*keys).orderBy("_chunk")
+    head = F.min(value) if value == order[0] else F.min_by(value, F.struct(*order))
     heads = (
-        pieces.groupBy(*keys, "_chunk")
-        .agg(F.min_by(value, F.struct(*order)).alias("_head"))
-        .select(*renamed, F.col("_chunk").alias("_c"), F.lead("_head").over(ahead).alias("_later"))
+        df.withColumn("_chunk", chunk)
+        .groupBy(*keys, "_chunk")
+        .agg(head.alias("_head"))
+        .select(piece, F.lead("_head").over(ahead).alias("_later"))
     )
-    local = F.lead(value).over(W.partitionBy(*keys, "_chunk").orderBy(*order))
+    rest = [c for c in df.columns if c not in keys]
+    pieces = df.withColumn("_chunk", chunk).select(piece, *rest)
+    local = F.lead(value).over(W.partitionBy("_piece").orderBy(*order))
     return (
         pieces.withColumn("_near", local)
-        .join(heads, same & F.col("_chunk").eqNullSafe(F.col("_c")))
+        .join(heads, "_piece")
         .withColumn(out, F.coalesce(F.col("_near"), F.col("_later")))
-        .select(*df.columns, out)
+        .select(*[F.col(f"_piece.{c}").alias(c) if c in keys else F.col(c) for c in df.columns], out)
     )
 
 
