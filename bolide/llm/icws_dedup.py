@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +39,29 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 GRAIN = 16
+# Text of a chunk: a task's arrays of words and shingles take some twenty times this.
+CHUNK_BYTES = 4 << 20
 # Shingles sampled at a time, so that the arrays of a sample stay in the processor's cache.
-RUN = 1 << 14
+RUN = 1 << 15
 SEEDS = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 def _distinct_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the words, sorted, and in how many documents of the chunk each is."""
-    keys, doc = key48(words.hashes()), words.doc()
-    order = np.lexsort((doc, keys))
-    k, d = keys[order], doc[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-    return np.unique(k[new], return_counts=True)
+    found, at = _coded(words)
+    # A word of a document as one number, once for each document that has it.
+    seen = np.sort(words.doc() * max(1, len(found)) + at)
+    seen = seen[np.append(True, seen[1:] != seen[:-1])[: len(seen)]]
+    return found, np.bincount(seen % max(1, len(found)), minlength=len(found))
+
+
+def _coded(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words' distinct keys, sorted, and each word's place among them."""
+    coded = pa.array(key48(words.hashes())).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[coded.indices.to_numpy()]
 
 
 def word_frequencies(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -70,8 +82,10 @@ def word_weights(frequency: np.ndarray, documents: int) -> np.ndarray:
     return np.rint(GRAIN * (1 + np.log((1 + documents) / (1 + frequency)))).astype(np.int64)
 
 
-def shingles(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each document: document, hash and weight, sorted by these.
+def shingles(
+    words: Words, weights: np.ndarray, chosen: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each document, or of those that are ``chosen``: document, hash and weight, sorted by these.
 
     ``weights`` has the weight of each word of the chunk.
     """
@@ -81,16 +95,22 @@ def shingles(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     left = np.repeat(words.bounds[1:], per) - np.arange(n)
     whole = np.repeat(per, per)
     begins = (left >= SHINGLE) | ((whole < SHINGLE) & (left == whole))
+    if chosen is not None:
+        begins &= np.repeat(chosen, per)
     at = np.flatnonzero(begins)
     reach = np.minimum(left[at], SHINGLE)
     h, w = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
-    for k in range(SHINGLE):
-        on = k < reach
-        place = at[on] + k
-        h[on] = mixed(h[on] + hashes[place] + np.uint64(k + 1))
-        w[on] += weights[place]
+    for size in range(1, SHINGLE + 1):
+        on = np.flatnonzero(reach == size)
+        if not len(on):
+            continue
+        begin, sums, total = at[on], np.zeros(len(on), np.uint64), np.zeros(len(on), np.int64)
+        for k in range(size):
+            sums = mixed(sums + hashes[begin + k] + np.uint64(k + 1))
+            total += weights[begin + k]
+        h[on], w[on] = sums, total
     doc = words.doc()[at]
-    order = np.lexsort((h, doc))
+    order = _in_order(doc, h, len(per))
     h, w, doc = h[order], w[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -98,6 +118,18 @@ def shingles(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], h[first], np.add.reduceat(w, first) if len(first) else w
 
 
+def _in_order(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """Places of the shingles by document, then hash; the order of equal ones is open."""
+    bits = np.uint64(max(1, n_docs.bit_length()))
+    key = (doc.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    order = np.argsort(key)
+    key, sorted_h = key[order], h[order]
+    # Hashes that differ in their last bits only are a rare case.
+    if np.any((key[1:] == key[:-1]) & (sorted_h[1:] < sorted_h[:-1])):
+        return np.lexsort((h, doc))
+    return order
+
+
 def _gamma_quantiles(bits: int) -> np.ndarray:
     """The middle of each of 2^bits equal shares of Gamma(2, 1): where 1 - (1 + x) e^-x takes their middle values."""
     p = (np.arange(1 << bits) + 0.5) / (1 << bits)
@@ -113,14 +145,20 @@ _R, _LOG_C = _GAMMA.astype(np.float32), np.log(_GAMMA).astype(np.float32)
 
 def _draw(h: np.ndarray, log_weight: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Ioffe's log a and t of each shingle in one sample; r and c are looked up by 16 bits each."""
-    x = (h ^ np.uint64(SEEDS[sample])) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
+    x = h ^ SEEDS[sample]
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    y = x >> np.uint64(31)
+    x ^= y
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(33)
+    x ^= np.right_shift(x, np.uint64(33), out=y)
     parts = x.view(np.uint16).reshape(-1, 4)
     r = _R.take(parts[:, 1].astype(np.intp))
-    beta = (parts[:, 3].astype(np.float32) + np.float32(0.5)) * np.float32(1 / (1 << 16))
-    t = np.floor(log_weight / r + beta)
+    beta = parts[:, 3].astype(np.float32)
+    beta += np.float32(0.5)
+    beta *= np.float32(1 / (1 << 16))
+    t = log_weight / r
+    t += beta
+    np.floor(t, out=t)
     beta -= t
     beta -= np.float32(1)
     beta *= r
@@ -142,12 +180,15 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int)
         b = max(a + 1, int(np.searchsorted(ends, first[a] + RUN, "right")))
         lo, hi = first[a], ends[b - 1]
         some, weights, n = h[lo:hi], log_weight[lo:hi], ends[a:b] - first[a:b]
+        begin = first[a:b] - lo
+        of, steps = np.empty((SAMPLES, b - a), np.uint64), np.empty((SAMPLES, b - a), np.int64)
         for sample in range(SAMPLES):
             log_a, t = _draw(some, weights, sample)
-            best = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, first[a:b] - lo), n))
+            best = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, begin), n))
             # Of equal ones the first, which has the smallest hash.
-            best = best[np.searchsorted(best, first[a:b] - lo)]
-            out[found[a:b], sample] = mixed(some[best] + mixed(t[best].astype(np.int64).astype(np.uint64))) | np.uint64(1)
+            best = best[np.searchsorted(best, begin)]
+            of[sample], steps[sample] = some[best], t[best]
+        out[found[a:b]] = (mixed(of + mixed(steps.astype(np.uint64))) | np.uint64(1)).T
         a = b
     return out
 
@@ -164,9 +205,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def _weights_of(words: Words, totals: np.ndarray, documents: int) -> np.ndarray:
-    keys = key48(words.hashes())
-    known = np.unique(keys)
-    return word_weights(totals[:, 0], documents)[np.searchsorted(known, keys)]
+    return word_weights(totals[:, 0], documents)[_coded(words)[1]]
 
 
 def _with_asked(frequencies: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -181,6 +220,11 @@ def _asked_of(right: pa.Table) -> np.ndarray:
     return np.array([i for w in right["wanted"].to_pylist() if w is not None for i in w], np.int64)
 
 
+def _rows_of(chunk: pa.Table) -> np.ndarray:
+    """The numbers of a chunk's documents."""
+    return pc.struct_field(chunk["docs"].combine_chunks()[0].values, "_row").to_numpy(zero_copy_only=False)
+
+
 def _bands(
     chunks: DataFrame, frequencies: DataFrame, wanted: DataFrame, documents: int, buckets: int
 ) -> DataFrame:
@@ -192,11 +236,11 @@ def _bands(
             return pa.table({"key": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})
         words = Words(texts(chunk["sizes"][0].as_py(), chunk["text"][0].as_py()))
         totals = totals_of(right, 1, 0, buckets)
-        doc, h, w = shingles(words, _weights_of(words, totals, documents))
-        rows = np.array([r["_row"] for r in chunk["docs"][0].as_py()], np.int64)
+        rows = _rows_of(chunk)
         chosen = np.isin(rows, asked) & (words.per_doc > 0)
-        mine, some = chosen[doc], np.flatnonzero(chosen)
-        keys = band_keys(signatures(doc[mine], h[mine], w[mine], len(rows))[some])
+        some = np.flatnonzero(chosen)
+        doc, h, w = shingles(words, _weights_of(words, totals, documents), chosen)
+        keys = band_keys(signatures(doc, h, w, len(rows))[some])
         return pa.table({"key": keys.reshape(-1).view(np.int64), "id": np.repeat(rows[some], BANDS)})
 
     left = chunks.select("chunk", "docs", "sizes", "text").groupBy("chunk")
@@ -210,19 +254,18 @@ def _vectors(
 
     def describe(chunk: pa.Table, right: pa.Table) -> pa.Table:
         asked = _asked_of(right)
-        rows = [r["_row"] for r in chunk["docs"][0].as_py()] if chunk.num_rows else []
         ids, blobs = [], []
-        if len(asked) and rows:
+        if len(asked) and chunk.num_rows:
+            rows = _rows_of(chunk)
+            chosen = np.isin(rows, asked)
             words = Words(texts(chunk["sizes"][0].as_py(), chunk["text"][0].as_py()))
             totals = totals_of(right, 1, 0, buckets)
-            doc, h, w = shingles(words, _weights_of(words, totals, documents))
+            doc, h, w = shingles(words, _weights_of(words, totals, documents), chosen)
             ends = np.searchsorted(doc, np.arange(len(rows) + 1))
-            want = set(asked.tolist())
-            for i, row in enumerate(rows):
-                if row in want:
-                    a, b = ends[i], ends[i + 1]
-                    ids.append(row)
-                    blobs.append(vector(h[a:b], w[a:b]))
+            for i in np.flatnonzero(chosen):
+                a, b = ends[i], ends[i + 1]
+                ids.append(rows[i])
+                blobs.append(vector(h[a:b], w[a:b]))
         return pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.array(blobs, pa.binary())})
 
     right = _with_asked(frequencies, wanted).groupBy("chunk")
@@ -322,7 +365,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def _near_classes(docs: DataFrame, least: float) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    chunks = chunked(docs.select("doc_id", *others, text.alias("text"), F.sha2(text, 256).alias("digest")))
+    chunks = chunked(docs.select("doc_id", *others, text.alias("text"), F.sha2(text, 256).alias("digest")), CHUNK_BYTES)
     rows = settle(chunks.select("chunk", F.explode("docs").alias("d")).select("chunk", "d.*"), "rows")
     documents, n_chunks = rows.count(), chunks.count()
     buckets = buckets_for(n_chunks)
