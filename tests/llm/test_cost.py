@@ -1,11 +1,11 @@
-"""What signing and indexing do and hold, beside what they return."""
+"""What signing, encoding and indexing do and hold, beside what they return."""
 
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
-from bolide.llm import icws_dedup
+from bolide.llm import icws_dedup, quality_mil
 from bolide.llm.exchange import key48
 from bolide.llm.shared import Words
 
@@ -70,3 +70,16 @@ def test_spelling_words_holds_little_beside_the_text():
     words = Words(pa.array(["some plain words, " * 60_000]))
     assert words.spelled().to_pylist()[:3] == [b"some", b"plain", b"words"]
     assert _peak(words.spelled) < 8 * len(words.raw)  # 17 times with two numbers for each byte
+
+
+def test_texts_reach_the_classifier_once_and_in_small_pieces(spark):
+    docs = spark.createDataFrame([(1, "good words. " * 30), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [r["doc_id"] for r in quality_mil.keep_good(docs, labels, 0.0).orderBy("doc_id").collect()] == [1, 2]
+    plan = quality_mil.keep_good(docs, labels)._jdf.queryExecution().analyzed().toString()
+    sent = [line for line in plan.splitlines() if "Project [struct(" in line or "AS _doc" in line]
+    assert sent and not any("text#" in line.split("struct(")[0] for line in sent)
+    text = pa.array(["good words, and more of them. " * 30] * 4000)
+    batch = pa.RecordBatch.from_arrays([text], ["text"])
+    part = next(quality_mil.pieces(batch, "text", quality_mil.PIECE_BYTES))
+    assert _peak(lambda: quality_mil.encode(part["text"])) < 100 << 20  # 181 with four times the text
