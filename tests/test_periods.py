@@ -82,3 +82,28 @@ def test_no_side_is_broadcast(spark, tmp_path):
         sides.append(spark.read.parquet(f"{tmp_path}/{name}"))
     plan = periods.overlap_join(*sides, ["k"], _bins(7.0))._jdf
     assert "BroadcastHashJoin" not in plan.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("crowd", [0, 40, 1000])
+def test_crowded_keys_and_others_meet_alike(spark, crowd):
+    rng = random.Random(4)
+    left, right = _some(rng, 60, "a"), _some(rng, 50, "b")
+    got = periods.overlap_join(
+        spark.createDataFrame(left, f"k long, a string, {SPAN}"),
+        spark.createDataFrame(right, f"k long, b string, {SPAN}"),
+        ["k"],
+        _bins(7.0),
+        crowd=crowd,
+    )
+    assert got.columns == ["k", "b", "a", "valid_from", "valid_to"]
+    rows = got.select("k", "a", "b", "valid_from", "valid_to").collect()
+    assert sorted((tuple(r) for r in rows), key=repr) == _overlaps(left, right)
+
+
+def test_rows_of_ordinary_keys_are_moved_once(spark):
+    """Cut into nodes, a row was shuffled some ten times, which filled the disk."""
+    left = spark.createDataFrame([(k % 50, k, float(k), float(k + 40)) for k in range(600)], f"k long, a long, {SPAN}")
+    right = spark.createDataFrame([(k % 50, k, float(k), None) for k in range(600)], f"k long, b long, {SPAN}")
+    plan = periods.overlap_join(left, right, ["k"], _bins(1.0))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2
