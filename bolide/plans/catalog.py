@@ -260,7 +260,7 @@ def ordered_matching_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_matching_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """The same by rounds alone: no component goes through one task."""
+    """The same by rounds alone: of each component a task goes through half of the edges that are left at most."""
     return matching.ordered_matching(rocks(spark, d), slugs(spark, d), tail=0, class_tail=0)
 
 

@@ -229,3 +229,32 @@ def test_few_labels_need_no_python_task(spark):
     plan = labels._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "LocalTableScan" in plan
     assert len({r.label for r in labels.collect() if r.node in (1, 2, 3)}) == 1
+
+
+@pytest.mark.parametrize(("members", "n"), [(matching.MEMBERS, 16), (12, 8)])
+def test_rounds_go_through_many_hits_of_one_bearing(spark, monkeypatch, members, n):
+    """One bearing, whose fastest slugs meet every rock first: a hit a round took as many rounds as rocks."""
+    rocks = [(i, "c", 4, None, 0.0, 0.0, 0.1, 0.0, 0.1, float(100 + 7 * i), 0.0) for i in range(n)]
+    slugs = [(100 - i, "c", None, float(i % 5), 0.1, 0.1, float(10 + i % 30)) for i in range(n + 9)]
+    want = brute.in_order(brute.candidates(rocks, slugs))
+    assert len(want) == n
+    r, s = frames(spark, rocks, slugs)
+    rounds = []
+    plain = matching.recounted
+
+    def counted(*args):
+        rounds.append(1)
+        return plain(*args)
+
+    monkeypatch.setattr(matching, "recounted", counted)
+    assert rows(matching.ordered_matching(r, s, tail=0, class_tail=0, members=members)) == want
+    # Where a task may hold few members, a round takes the first pair of a bearing until few are left.
+    assert 1 < len(rounds) < n
+
+
+def test_earliest_edges_keep_ties(spark):
+    times = [(1, 5.0)] * 3 + [(1, float(t)) for t in range(10, 20)] + [(2, 1.0)] + [(3, 4.0)] * 5
+    edges = spark.createDataFrame(times, "comp long, t double")
+    found = {c: sorted(r.t for r in matching.earliest(edges, 100).collect() if r.comp == c) for c in (1, 2, 3)}
+    assert found == {1: [5.0] * 3 + [10.0, 11.0, 12.0, 13.0], 2: [1.0], 3: [4.0] * 5}
+    assert sorted(r.t for r in matching.earliest(edges, 4).collect() if r.comp == 1) == [5.0] * 3 + [10.0]
