@@ -83,3 +83,37 @@ def test_texts_reach_the_classifier_once_and_in_small_pieces(spark):
     batch = pa.RecordBatch.from_arrays([text], ["text"])
     part = next(quality_mil.pieces(batch, "text", quality_mil.PIECE_BYTES))
     assert _peak(lambda: quality_mil.encode(part["text"])) < 100 << 20  # 181 with four times the text
+
+
+def test_only_shared_keys_of_lines_are_kept(spark, monkeypatch):
+    """Every key of every line was joined with its line, written and moved again, though most have one line."""
+    from bolide.llm import line_dedup
+
+    words = [f"word{i}" for i in range(400)]
+    lines = [" ".join(words[i : i + 12]) for i in range(0, 384, 12)]
+    texts = [("a", "\n".join(lines[:16])), ("b", "\n".join([*lines[16:], lines[0] + " more", lines[0]]))]
+    kept = {}
+    plain = line_dedup.settle
+
+    def noting(df, label="round"):
+        kept[label] = plain(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(line_dedup, "settle", noting)
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    found = {r.doc_id: r.dropped_lines for r in line_dedup.report(docs).collect()}
+    assert found == {"a": "", "b": "16,17"}
+    keyed = kept["keyed"].select("key", "id").collect()
+    of = {}
+    for r in keyed:
+        of.setdefault(r.key, []).append(r.id)
+    assert of and all(len(ids) == len(set(ids)) > 1 for ids in of.values())
+    assert {"simhash", "size", "loose"} <= set(kept["keyed"].columns)
+
+
+def test_shared_keys_count_ids_once(spark):
+    from bolide.llm import line_dedup
+
+    rows = [(1, 7), (2, 7), (2, 7), (3, 8), (4, 9), (5, 9), (6, 9)]
+    got = line_dedup.shared_keys(spark.createDataFrame(rows, "id long, key long")).collect()
+    assert sorted((r.id, r.key) for r in got) == [(1, 7), (2, 7), (4, 9), (5, 9), (6, 9)]
